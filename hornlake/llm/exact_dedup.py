@@ -2,6 +2,9 @@
 
 Normalised texts are range-partitioned by sampled splitters and sorted (spilling to disk), so equal
 texts are adjacent; a window over full texts compares neighbours and finds each group's survivor.
+The sort key is (first HEAD_CHARS characters, hash, text): the splitters sampled for the driver are
+cut from the first two, so their size does not depend on text lengths, and a beginning that many
+different texts share is still split.
 
 Groups of at least a 1/HOT_SHARE share of all rows would sit on one splitter, so they are folded
 before the sort: there are at most HOT_SHARE of them, a map-side aggregate reduces each to one row,
@@ -21,6 +24,7 @@ from .common import partitions
 
 HOT_SHARE = 2000
 HOT_LEAST = 32
+HEAD_CHARS = 32
 
 
 def exact_dedup(docs: DataFrame, keep: str = "min", normalise: Column | None = None) -> DataFrame:
@@ -40,8 +44,9 @@ def exact_dedup(docs: DataFrame, keep: str = "min", normalise: Column | None = N
     folded = rows.join(hot, "_hash", "left_semi").groupBy("_body").agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     common = rows.join(F.broadcast(folded), "_body")
 
-    rare = rows.join(hot, "_hash", "left_anti").repartitionByRange(partitions(docs.sparkSession), "_body")
-    equal = Window.partitionBy("_body")
+    rare = rows.join(hot, "_hash", "left_anti").withColumn("_head", F.substring("_body", 1, HEAD_CHARS))
+    rare = rare.repartitionByRange(partitions(docs.sparkSession), "_head", "_hash")
+    equal = Window.partitionBy("_head", "_hash", "_body")
     rare = rare.withColumn("keep_id", best("doc_id").over(equal)).withColumn("group_size", F.count(F.lit(1)).over(equal))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     out = [*[F.col(f"`{c}`") for c in names], "keep_id", "group_size", kept.alias("kept"), "text_sha256"]
