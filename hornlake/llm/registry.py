@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["exact_dedup", "sharding", "line_dedup", "token_counts", "secret_scan"]
+MODULES = ["exact_dedup", "sharding", "packing", "line_dedup", "token_counts", "secret_scan"]
 
 
 def queries() -> dict:
