@@ -16,37 +16,48 @@ one document; a document with no other lines becomes empty or blank.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize, row_key
+from .common import id_text, materialize, partitions, row_key
 
 DEPTH, SHARE, SIMILAR = 3, 0.8, 0.7
 LEAF = ["leaf", "n_tokens"]
 TEMPLATE = [*LEAF, "t1", "t2"]
 
 
+def masked_line(line: Column) -> Column:
+    """The line with single spaces and <*> for tokens that hold a digit; most lines only get scanned."""
+    odd = line.rlike(r"[\t\r\f]|\x20\x20")
+    squeezed = F.trim(F.when(odd, F.regexp_replace(line, r"[\x20\t\r\f]+", " ")).otherwise(line))
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(squeezed, r"(?<![^\x20])[^\x200-9]*+[0-9][^\x20]*+", "<*>")).otherwise(squeezed)
+
+
 def parsed_lines(docs: DataFrame) -> DataFrame:
-    """(uid, line_no, masked, n_tokens, leaf, t1, t2) of every line."""
-    lines = docs.select("uid", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    squeezed = F.trim(F.regexp_replace("line", r"[\x20\t\r\f]+", " "))
-    lines = lines.select("uid", "line_no", F.regexp_replace(squeezed, r"[^ ]*[0-9][^ ]*", "<*>").alias("masked"))
-    n = F.when(F.col("masked") == "", 0).otherwise(F.length(F.regexp_replace("masked", "[^ ]", "")) + 1)
+    """(doc_id, uid, line_no, n_tokens, leaf, t1, t2) of every line."""
+    lines = docs.select("doc_id", "uid", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = lines.select("doc_id", "uid", "line_no", masked_line(F.col("line")).alias("masked"))
+    spaces = F.length("masked") - F.length(F.translate("masked", " ", ""))
+    n = F.when(F.col("masked") == "", 0).otherwise(spaces + 1)
     leaf = F.xxhash64(F.substring_index("masked", " ", DEPTH))
-    return lines.select("uid", "line_no", "masked", n.alias("n_tokens"), leaf.alias("leaf"), F.xxhash64("masked").alias("t1"), F.xxhash64(F.lit(1), "masked").alias("t2"))
+    return lines.select("doc_id", "uid", "line_no", n.alias("n_tokens"), leaf.alias("leaf"), F.xxhash64("masked").alias("t1"), F.xxhash64(F.lit(1), "masked").alias("t2"))
+
 
+def generalised(texts: DataFrame, known: DataFrame, per_doc: DataFrame, min_docs: int) -> DataFrame:
+    """Masked templates (TEMPLATE columns) that belong to a recurring generalised template of their leaf.
 
-def generalised(lines: DataFrame, per_doc: DataFrame, min_docs: int) -> DataFrame:
-    """Masked templates (TEMPLATE columns) that belong to a recurring generalised template of their leaf."""
-    weights = per_doc.groupBy(*TEMPLATE).agg(F.count(F.lit(1)).alias("docs"))
+    texts: (uid, text), dealt by uid.  One representative line per template is read from there.
+    """
+    weights = per_doc.groupBy(*TEMPLATE).agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("uid", "line_no")).alias("at"))
     leaves = weights.groupBy(*LEAF).agg(F.sum("docs").alias("leaf_docs"), F.count(F.lit(1)).alias("kinds"))
     leaves = leaves.where((F.col("leaf_docs") >= min_docs) & (F.col("kinds") > 1) & (F.col("n_tokens") > DEPTH))
-    bodies = lines.join(leaves.select(*LEAF), LEAF, "left_semi").groupBy(*TEMPLATE).agg(F.first("masked").alias("masked"))
-    bodies = bodies.join(weights, TEMPLATE)
-    fields = bodies.select(*TEMPLATE, "docs", F.posexplode(F.split("masked", " ")).alias("pos", "token"))
-    common = fields.groupBy(*LEAF, "pos", "token").agg(F.sum("docs").alias("held"))
-    modal = common.groupBy(*LEAF, "pos").agg(F.max(F.struct("held", "token")).alias("top"))
-    constant = modal.join(leaves, LEAF).where(F.col("top.held") >= SHARE * F.col("leaf_docs")).select(*LEAF, "pos", F.col("top.token").alias("token"))
+    wanted = weights.join(leaves, LEAF).select("at.uid", F.struct(F.col("at.line_no").alias("line_no"), *TEMPLATE, "docs", "leaf_docs").alias("one"))
+    wanted = wanted.groupBy("uid").agg(F.collect_list("one").alias("reps"))
+    found = texts.join(wanted.hint("shuffle_hash"), "uid").select(F.split("text", "\n").alias("parts"), F.explode("reps").alias("r"))
+    bodies = found.select("r.*", masked_line(F.get("parts", F.col("r.line_no"))).alias("masked"))
+    fields = materialize(bodies.select(*TEMPLATE, "docs", "leaf_docs", F.posexplode(F.split("masked", " ")).alias("pos", "token")))
+    common = fields.groupBy(*LEAF, "pos", "token").agg(F.sum("docs").alias("held"), F.first("leaf_docs").alias("leaf_docs"))
+    constant = common.where(F.col("held") >= SHARE * F.col("leaf_docs")).select(*LEAF, "pos", "token")
     alike = fields.join(constant, [*LEAF, "pos", "token"]).groupBy(*TEMPLATE).agg(F.count(F.lit(1)).alias("same"))
     members = alike.where(F.col("same") >= SIMILAR * F.col("n_tokens")).select(*TEMPLATE)
     spread = per_doc.join(members, TEMPLATE).select(*LEAF, "uid").distinct().groupBy(*LEAF).count().where(F.col("count") >= min_docs)
@@ -56,17 +67,15 @@ def generalised(lines: DataFrame, per_doc: DataFrame, min_docs: int) -> DataFram
 def line_dedup(docs: DataFrame, min_docs: int = 3) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_text) per document."""
     rows = id_text(docs).withColumn("uid", row_key())
-    lines = parsed_lines(rows)
-    known = materialize(lines.drop("masked"))
-    counted = known.where("n_tokens > 0")
-    per_doc = counted.select(*TEMPLATE, "uid").distinct()
+    texts = rows.select("uid", "text").repartition(partitions(docs.sparkSession), "uid")
+    known = materialize(parsed_lines(rows))
+    per_doc = materialize(known.where("n_tokens > 0").groupBy(*TEMPLATE, "uid").agg(F.min("line_no").alias("line_no")))
     recurring = per_doc.groupBy(*TEMPLATE).agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).select(*TEMPLATE)
-    dropped = recurring.unionByName(generalised(lines.where("n_tokens > 0"), per_doc, min_docs)).distinct()
+    dropped = recurring.unionByName(generalised(texts, known, per_doc, min_docs)).distinct()
     flags = known.join(dropped.withColumn("drop", F.lit(True)), TEMPLATE, "left")
-    flags = flags.groupBy("uid").agg(F.collect_set(F.struct("line_no", F.coalesce("drop", F.lit(False)).alias("drop"))).alias("flags"))
-    out = rows.join(flags, "uid").withColumn("flags", F.array_sort("flags"))
-    split = F.split("text", "\n")
-    pairs = F.filter(F.arrays_zip(split.alias("line"), F.col("flags.drop").alias("drop")), lambda x: ~x["drop"])
+    flags = flags.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.array_sort(F.collect_set(F.struct("line_no", F.coalesce("drop", F.lit(False)).alias("drop")))).alias("flags"))
+    out = texts.join(flags.hint("shuffle_hash"), "uid")
+    pairs = F.filter(F.arrays_zip(F.split("text", "\n").alias("line"), F.col("flags.drop").alias("drop")), lambda x: ~x["drop"])
     return out.select(
         "doc_id",
         F.size("flags").cast("bigint").alias("n_lines"),
