@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dense_rank_blocks, id_text
+from .common import dense_rank_blocks, id_text, materialize
 
 END_ID = 0
 BLOCK_ROWS = 200_000
@@ -33,33 +33,30 @@ RUNS_BOUND = 2_000_000
 
 def _cut(tokens: int):
     def run(batches):
-        from .pretokens import WordIds
+        from .pretokens import WordIds, chunks
 
-        words, packed = WordIds(), {}
+        words = WordIds()
         for batch in batches:
-            doc, number, start, length, crc = [], [], [], [], []
-            texts = batch.column(1).to_pylist()
-            split = [words.split(t) for t in texts]
-            fresh = {w for s in split if s for w in s if w not in packed}
-            if fresh:
-                if len(packed) > 400_000:
-                    packed, fresh = {}, {w for s in split if s for w in s}
-                known = words.learn(fresh)
-                packed.update((w, array("I", known[w]).tobytes()) for w in fresh)
-            for d, t, s in zip(batch.column(0).to_pylist(), texts, split, strict=True):
-                ids = array("I", words.whole(t)).tobytes() if s is None else b"".join([packed[w] for w in s])
-                ids += b"\0\0\0\0"
-                for i, at in enumerate(range(0, len(ids), 4 * tokens)):
-                    piece = ids[at : at + 4 * tokens]
-                    doc.append(d), number.append(i), start.append(at // 4), length.append(len(piece) // 4), crc.append(zlib.crc32(piece))
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            for part in chunks(batch, 1):
+                doc, number, start, length, crc = [], [], [], [], []
+                texts = part.column(1).to_pylist()
+                split = [words.split(t) for t in texts]
+                known = words.learn(set().union(*(s for s in split if s)))
+                for d, t, s in zip(part.column(0).to_pylist(), texts, split, strict=True):
+                    ids = array("I", words.whole(t)).tobytes() if s is None else b"".join(map(known.__getitem__, s))
+                    ids += b"\0\0\0\0"
+                    for i, at in enumerate(range(0, len(ids), 4 * tokens)):
+                        piece = ids[at : at + 4 * tokens]
+                        doc.append(d), number.append(i), start.append(at // 4), length.append(len(piece) // 4), crc.append(zlib.crc32(piece))
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 
 
 def pieces(docs: DataFrame, tokens: int = 2048) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): documents as ids and 0, longer ones cut."""
-    return id_text(docs).mapInArrow(_cut(tokens), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    cut = id_text(docs).mapInArrow(_cut(tokens), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return materialize(cut)  # a few numbers per piece, so that texts are read once
 
 
 def plan(counts: dict[int, int], tokens: int, documents: int | None = None, attention: int | None = None, rule: str = "norm", weights=(1.0, 1.0, 1.0)):

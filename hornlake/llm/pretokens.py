@@ -8,7 +8,9 @@ all other texts, and those that hold a special token's string, go through the li
 
 from __future__ import annotations
 
+import os
 import re
+from array import array
 
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -19,17 +21,18 @@ _LETTER = "a-zA-Zªµºß-öø-ÿÀ-ÖØ-ÞĀ-ɏ"
 _NUMBER = "0-9²³¹¼-¾"
 SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+")
 UNSAFE = re.compile(r"[^\x00-įı-ɏ]|<\||[\x1c-\x1f]")
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 
 
 class WordIds:
     """A bounded cache of ids per pre-token over the library's tokenizer."""
 
     def __init__(self, path: str | None = None):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path or public_tokenizers.path(MODEL))
         self.library.no_truncation()
         self.library.no_padding()
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}  # ids as unsigned 32-bit little-endian
 
     def split(self, text: str) -> list[str] | None:
         """Pre-tokens in order, None if only the library may split this text."""
@@ -40,11 +43,27 @@ class WordIds:
     def whole(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def learn(self, words: set[str]) -> dict[str, tuple[int, ...]]:
+    def learn(self, words: set[str]) -> dict[str, bytes]:
         """The cache, holding at least these words: each distinct one is encoded once while it stays."""
         if len(self.known) > CACHE_WORDS:
             self.known = {}
-        fresh = [w for w in words if w not in self.known]
-        for w, e in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.known[w] = tuple(e.ids)
+        fresh = list(words - self.known.keys())
+        for at in range(0, len(fresh), 20_000):
+            some = fresh[at : at + 20_000]
+            for w, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.known[w] = array("I", e.ids).tobytes()
         return self.known
+
+
+def chunks(batch, text: int, most: int = 2_000_000):
+    """The record batch in slices of about `most` bytes of text, at least a row each."""
+    import pyarrow.compute as pc
+
+    start = held = 0
+    for i, n in enumerate(pc.binary_length(batch.column(text)).to_pylist()):
+        if held and held + n > most:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)

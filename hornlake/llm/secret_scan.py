@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import id_text, materialize
 
 # Kinds in order, pattern, test of a match's least length.
 RULES = [
@@ -61,7 +61,7 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None) -> tuple[DataFrame, D
     unseen = rows
     if ledger is not None:
         unseen = rows.join(ledger.where(F.col("rule_version") == RULE_VERSION).select("blob"), "blob", "left_anti")
-    fresh = scan_blobs(unseen.groupBy("blob").agg(F.first("text").alias("text")))
+    fresh = materialize(scan_blobs(unseen.groupBy("blob").agg(F.first("text").alias("text"))))
     known = fresh if ledger is None else fresh.unionByName(ledger.where(F.col("rule_version") == RULE_VERSION).select("blob", "rule_version", "found"))
     return rows.select("doc_id", "blob").join(known.select("blob", "found"), "blob"), fresh
 

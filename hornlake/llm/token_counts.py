@@ -2,7 +2,8 @@
 document's pre-token frequencies.
 
 1. Pre-tokens are counted per task and summed: a table of distinct pre-tokens, frequencies and pieces.
-2. The HEAD_WORDS most frequent short ones (a fixed bound of rows and bytes) are broadcast.
+2. The most frequent short ones, at most HEAD_WORDS of at most HEAD_CHARS characters, are broadcast:
+   those of a frequency of 2^p and more for the least p that keeps the bound.
 3. One pass over the texts sums the head's pieces in place and emits (document, pre-token, frequency)
    only for the rest, which joins the table by shuffle and is summed per document.
 
@@ -20,21 +21,22 @@ from pyspark.sql import functions as F
 
 from .common import id_text, materialize, row_key
 
-HEAD_WORDS, HEAD_CHARS = 1 << 16, 24
+HEAD_WORDS, HEAD_CHARS = 1 << 17, 24
 FLUSH_WORDS = 200_000
 
 
 def _frequencies(batches):
-    from .pretokens import WordIds
+    from .pretokens import WordIds, chunks
 
     words, counts = WordIds(), Counter()
     out = lambda c: pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            counts.update(words.split(text) or ())
-        if len(counts) > FLUSH_WORDS:
-            yield out(counts)
-            counts = Counter()
+        for part in chunks(batch, 0):
+            for text in part.column(0).to_pylist():
+                counts.update(words.split(text) or ())
+            if len(counts) > FLUSH_WORDS:
+                yield out(counts)
+                counts = Counter()
     yield out(counts)
 
 
@@ -49,13 +51,13 @@ def _pieces(batches):
 
 def _counter(head_of):
     def run(batches):
-        from .pretokens import WordIds
+        from .pretokens import WordIds, chunks
 
         words, head = WordIds(), head_of.value
         get = head.get
-        for batch in batches:
+        for part in (part for batch in batches for part in chunks(batch, 2)):
             uid, doc, size, base, tail, freq = [], [], [], [], [], []
-            for u, d, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for u, d, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                 split = words.split(text)
                 total, rest = (len(words.whole(text)), {}) if split is None else (0, {})
                 for w, n in Counter(split or ()).items():
@@ -75,8 +77,14 @@ def token_counts(docs: DataFrame) -> DataFrame:
     rows = id_text(docs).withColumn("uid", row_key())
     summed = rows.select("text").mapInArrow(_frequencies, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     pieces = materialize(summed.mapInArrow(_pieces, "word string, n bigint, pieces bigint"))
-    short = pieces.where(F.length("word") <= HEAD_CHARS).orderBy(F.desc("n"), "word").limit(HEAD_WORDS)
-    head = spark.sparkContext.broadcast({r.word: r.pieces for r in short.select("word", "pieces").collect()})
+    short = pieces.where(F.length("word") <= HEAD_CHARS).withColumn("power", F.floor(F.log2("n")))
+    least, held = 63, 0
+    for r in sorted(short.groupBy("power").count().collect(), reverse=True):  # at most 64 rows
+        held += r["count"]
+        if held > HEAD_WORDS:
+            break
+        least = r.power
+    head = spark.sparkContext.broadcast({r.word: r.pieces for r in short.where(F.col("power") >= least).select("word", "pieces").collect()})
     schema = "uid bigint, doc_id bigint, n_bytes bigint, base bigint, words array<string>, ns array<bigint>"
     counted = rows.select("uid", "doc_id", "text").mapInArrow(_counter(head), schema)
     # One row for the document itself (its word is unique to it and joins nothing), one per other pre-token.
