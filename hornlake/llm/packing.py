@@ -33,9 +33,9 @@ RUNS_BOUND = 2_000_000
 
 def _cut(tokens: int):
     def run(batches):
-        from .pretokens import WordIds, chunks
+        from .pretokens import word_ids, chunks
 
-        words = WordIds()
+        words = word_ids()
         for batch in batches:
             for part in chunks(batch, 1):
                 doc, number, start, length, crc = [], [], [], [], []

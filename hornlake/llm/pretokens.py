@@ -8,20 +8,21 @@ all other texts, and those that hold a special token's string, go through the li
 
 from __future__ import annotations
 
+import functools
 import os
 import re
-from array import array
 
+import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
 MODEL = "word_bpe_49k.json"
-# Latin letters of the safe range; U+0130 lower-cases to two characters.
-_LETTER = "a-zA-Zªµºß-öø-ÿÀ-ÖØ-ÞĀ-ɏ"
-_NUMBER = "0-9²³¹¼-¾"
-SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+")
-UNSAFE = re.compile(r"[^\x00-įı-ɏ]|<\||[\x1c-\x1f]")
-CACHE_WORDS = 500_000
+# Lower-case Latin letters and numbers of the safe range, white space as the library has it.
+_LETTER, _NUMBER, _SPACE = "a-zªµºß-öø-ÿĀ-ɏ", "0-9²³¹¼-¾", r"\t-\r \x85\xa0"
+SPLIT = re.compile(rf"[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
+# U+0130 lower-cases to two characters, U+023A and U+023E to letters outside the range.
+UNSAFE = re.compile(r"[^\x00-įı-ȹȻ-Ƚȿ-ɏ]")
+GENERATION = 500_000
 
 
 class WordIds:
@@ -33,10 +34,14 @@ class WordIds:
         self.library.no_truncation()
         self.library.no_padding()
         self.known: dict[str, bytes] = {}  # ids as unsigned 32-bit little-endian
+        self.older: dict[str, bytes] = {}
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)
+        for piece, i in self.library.get_vocab().items():
+            self.ends[i] = piece.endswith("</w>")
 
     def split(self, text: str) -> list[str] | None:
         """Pre-tokens in order, None if only the library may split this text."""
-        if UNSAFE.search(text):
+        if "<|" in text or not text.isascii() and UNSAFE.search(text):
             return None
         return SPLIT.findall(text.lower())
 
@@ -44,17 +49,39 @@ class WordIds:
         return self.library.encode(text, add_special_tokens=False).ids
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
-        """The cache, holding at least these words: each distinct one is encoded once while it stays."""
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        fresh = list(words - self.known.keys())
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at : at + 20_000]
-            for w, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[w] = array("I", e.ids).tobytes()
+        """The cache, holding at least these words: each distinct one is encoded once while it stays.
+
+        It has two generations: when the younger is full it becomes the older, and words that are
+        still met move back, so frequent words stay and memory is bounded.
+        """
+        if len(self.known) > GENERATION:
+            self.known, self.older = {}, self.known
+        fresh = words - self.known.keys()
+        if self.older:
+            back = fresh & self.older.keys()
+            self.known.update((w, self.older[w]) for w in back)
+            fresh -= back
+        fresh = list(fresh)
+        groups = [fresh[i : i + 50] for i in range(0, len(fresh), 50)]
+        for group, found in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.uint32)
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()  # a word's last piece is marked
+            if len(cuts) != len(group):
+                self.known.update((w, np.array(self.whole(w), np.uint32).tobytes()) for w in group)
+                continue
+            joined, at = ids.tobytes(), 0
+            for w, cut in zip(group, cuts, strict=True):
+                self.known[w] = joined[at:cut]
+                at = cut
         return self.known
 
 
+@functools.cache
+def word_ids() -> WordIds:
+    """One per worker process, so that its cache outlives a task."""
+    return WordIds()
+
+
 def chunks(batch, text: int, most: int = 2_000_000):
     """The record batch in slices of about `most` bytes of text, at least a row each."""
     import pyarrow.compute as pc

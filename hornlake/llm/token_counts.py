@@ -26,9 +26,9 @@ FLUSH_WORDS = 200_000
 
 
 def _frequencies(batches):
-    from .pretokens import WordIds, chunks
+    from .pretokens import word_ids, chunks
 
-    words, counts = WordIds(), Counter()
+    words, counts = word_ids(), Counter()
     out = lambda c: pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
     for batch in batches:
         for part in chunks(batch, 0):
@@ -41,9 +41,9 @@ def _frequencies(batches):
 
 
 def _pieces(batches):
-    from .pretokens import WordIds
+    from .pretokens import word_ids
 
-    library = WordIds().library
+    library = word_ids().library
     for batch in batches:
         found = library.encode_batch_fast(batch.column(0).to_pylist(), add_special_tokens=False)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(e.ids) for e in found], pa.int64())], ["word", "n", "pieces"])
@@ -51,9 +51,9 @@ def _pieces(batches):
 
 def _counter(head_of):
     def run(batches):
-        from .pretokens import WordIds, chunks
+        from .pretokens import word_ids, chunks
 
-        words, head = WordIds(), head_of.value
+        words, head = word_ids(), head_of.value
         get = head.get
         for part in (part for batch in batches for part in chunks(batch, 2)):
             uid, doc, size, base, tail, freq = [], [], [], [], [], []
