@@ -18,7 +18,7 @@ from collections import defaultdict
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text
@@ -163,23 +163,22 @@ def findings(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out if out is not None else spark.createDataFrame([], "doc_id bigint, item_id bigint, coverage double, verbatim boolean")
 
 
+def _dirty(shared):
+    @F.pandas_udf("boolean")
+    def dirty(texts: pd.Series) -> pd.Series:
+        return pd.Series([bool(shared.value.matches(t)) for t in texts])
+
+    return dirty
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs, all columns, without contaminated documents; texts are not shuffled."""
     for index in index_blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        @F.pandas_udf("boolean")
-        def dirty(texts: pd.Series, shared=shared) -> pd.Series:
-            return pd.Series([bool(t) and bool(shared.value.matches(t)) for t in texts])
-
-        docs = docs.where(~_once(dirty, F.col("text")))
+        dirty = _dirty(docs.sparkSession.sparkContext.broadcast(index))
+        docs = docs.where(~dirty(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     return docs
 
 
-def _once(udf, text: Column) -> Column:
-    return udf(F.coalesce(text.cast("string"), F.lit("")))
-
-
 def op4_decontaminate(spark, sf_dir):
     return findings(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
