@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["exact_dedup", "sharding", "toxicity", "decontaminate", "packing", "simhash", "line_dedup", "token_counts", "secret_scan"]
+MODULES = ["exact_dedup", "sharding", "toxicity", "decontaminate", "packing", "suffix_dedup", "simhash", "line_dedup", "token_counts", "secret_scan"]
 
 
 def queries() -> dict:
