@@ -57,6 +57,14 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+BROADCAST_IDS = 2_000_000
+
+
+def checked(ids: DataFrame) -> DataFrame:
+    """Materialized 64-bit ids, to be broadcast if there are at most BROADCAST_IDS, else to be shuffled."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over undirected edges (a, b), for ids on some edge.
 
@@ -91,3 +99,17 @@ def dense_rank_blocks(df: DataFrame, group: str, order: list[str], out: str, blo
     inner = Window.partitionBy(group, "_block").orderBy(*order)
     ranked = cut.withColumn("_at", F.row_number().over(inner) - 1)
     return ranked.join(starts, [group, "_block"]).withColumn(out, F.col("_start") + F.col("_at")).drop("_block", "_at", "_start")
+
+
+def chunks(batch, text: int, most: int = 2_000_000):
+    """The record batch in slices of about `most` bytes of text, at least a row each."""
+    import pyarrow.compute as pc
+
+    start = held = 0
+    for i, n in enumerate(pc.binary_length(batch.column(text)).to_pylist()):
+        if held and held + n > most:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)

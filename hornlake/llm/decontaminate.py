@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import chunks, id_text
 
 WINDOW, COVER, LITERAL, CONSISTENT = 5, 0.8, 0.5, 0.9
 BLOCK_WINDOWS = 500_000
@@ -153,7 +153,7 @@ def findings(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):
-            for batch in batches:
+            for batch in (part for batch in batches for part in chunks(batch, 1)):
                 got = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m in shared.value.matches(t)]
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got), (pa.int64(), pa.int64(), pa.float64(), pa.bool_()))], ["doc_id", "item_id", "coverage", "verbatim"])

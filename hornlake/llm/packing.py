@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dense_rank_blocks, id_text, materialize
+from .common import chunks, dense_rank_blocks, id_text, materialize
 
 END_ID = 0
 BLOCK_ROWS = 200_000
@@ -33,7 +33,7 @@ RUNS_BOUND = 2_000_000
 
 def _cut(tokens: int):
     def run(batches):
-        from .pretokens import word_ids, chunks
+        from .pretokens import word_ids
 
         words = word_ids()
         for batch in batches:

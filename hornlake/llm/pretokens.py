@@ -22,7 +22,7 @@ _LETTER, _NUMBER, _SPACE = "a-zªµºß-öø-ÿĀ-ɏ", "0-9²³¹¼-¾", r"\t-\r
 SPLIT = re.compile(rf"[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
 # U+0130 lower-cases to two characters, U+023A and U+023E to letters outside the range.
 UNSAFE = re.compile(r"[^\x00-įı-ȹȻ-Ƚȿ-ɏ]")
-GENERATION = 500_000
+GENERATION = 350_000
 
 
 class WordIds:
@@ -80,17 +80,3 @@ class WordIds:
 def word_ids() -> WordIds:
     """One per worker process, so that its cache outlives a task."""
     return WordIds()
-
-
-def chunks(batch, text: int, most: int = 2_000_000):
-    """The record batch in slices of about `most` bytes of text, at least a row each."""
-    import pyarrow.compute as pc
-
-    start = held = 0
-    for i, n in enumerate(pc.binary_length(batch.column(text)).to_pylist()):
-        if held and held + n > most:
-            yield batch.slice(start, i - start)
-            start, held = i, 0
-        held += n
-    if start < batch.num_rows:
-        yield batch.slice(start)

@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize, row_key
+from .common import chunks, id_text, materialize, row_key
 
 HEAD_WORDS, HEAD_CHARS = 1 << 17, 24
 FLUSH_WORDS = 200_000
 
 
 def _frequencies(batches):
-    from .pretokens import word_ids, chunks
+    from .pretokens import word_ids
 
     words, counts = word_ids(), Counter()
     out = lambda c: pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
@@ -51,7 +51,7 @@ def _pieces(batches):
 
 def _counter(head_of):
     def run(batches):
-        from .pretokens import word_ids, chunks
+        from .pretokens import word_ids
 
         words, head = word_ids(), head_of.value
         get = head.get

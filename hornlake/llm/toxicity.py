@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize, row_key
+from .common import checked, chunks, id_text, materialize, row_key
 
 SAMPLE, TERMS, BLOCK, NEIGHBOURS = 4000, 4096, 64, 25
 LEAST_CHI, LEAST_LIFT = 20.0, 4.0
@@ -60,7 +60,7 @@ def _terms(batches):
 
 def _vectors(terms: dict[str, int]):
     def run(batches):
-        for batch in batches:
+        for batch in (part for batch in batches for part in chunks(batch, 2)):
             size, index, freq = [], [], []
             for text in batch.column(2).to_pylist():
                 counts = words_of(text)
@@ -228,7 +228,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for size, ids, freqs in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                 key = (size if ids else 0, *ids, *freqs)
                 if key not in known:
-                    if len(known) > 100_000:
+                    if len(known) > 20_000:
                         known = {}
                     vote, near = index.vote(*unit_vector(key[0], ids, freqs, idf), NEIGHBOURS)
                     level = levels[max(0, bisect_right(starts, vote) - 1)]
@@ -241,7 +241,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame, most: float = 0.5) -> DataFrame:
     """docs, all columns, without those that score `most` or more."""
-    toxic = score(docs, labels).where(F.col("score") >= most).select(F.col("uid").alias("_uid"))
+    toxic = checked(materialize(score(docs, labels).where(F.col("score") >= most).select(F.col("uid").alias("_uid"))))
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.withColumn("_uid", F.xxhash64(F.col("doc_id").cast("bigint"), body)).join(toxic, "_uid", "left_anti").drop("_uid")
 
