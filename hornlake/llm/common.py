@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -113,3 +115,13 @@ def chunks(batch, text: int, most: int = 2_000_000):
         held += n
     if start < batch.num_rows:
         yield batch.slice(start)
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that a worker's allocators hold without need: executors share a limit with them."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)

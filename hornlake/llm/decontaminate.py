@@ -16,12 +16,11 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, id_text
+from .common import chunks, give_back, id_text
 
 WINDOW, COVER, LITERAL, CONSISTENT = 5, 0.8, 0.5, 0.9
 BLOCK_WINDOWS = 500_000
@@ -164,9 +163,11 @@ def findings(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _dirty(shared):
-    @F.pandas_udf("boolean")
-    def dirty(texts: pd.Series) -> pd.Series:
-        return pd.Series([bool(shared.value.matches(t)) for t in texts])
+    @F.arrow_udf("boolean")
+    def dirty(texts: pa.Array) -> pa.Array:
+        found = [bool(shared.value.matches(t.as_py())) for t in texts]
+        give_back()
+        return pa.array(found, pa.bool_())
 
     return dirty
 

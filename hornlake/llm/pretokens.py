@@ -22,7 +22,7 @@ _LETTER, _NUMBER, _SPACE = "a-zªµºß-öø-ÿĀ-ɏ", "0-9²³¹¼-¾", r"\t-\r
 SPLIT = re.compile(rf"[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
 # U+0130 lower-cases to two characters, U+023A and U+023E to letters outside the range.
 UNSAFE = re.compile(r"[^\x00-įı-ȹȻ-Ƚȿ-ɏ]")
-GENERATION = 350_000
+GENERATION = 250_000
 
 
 class WordIds:
