@@ -27,6 +27,18 @@ class Relation:
         return self.df.select(*out)
 
 
+def canonical(value) -> str:
+    """Canonical JSON text: sorted keys, whole floats as integers, non-finite numbers refused."""
+    def plain(v):
+        if isinstance(v, float) and v.is_integer() and -(2.0**63) <= v < 2.0**63:
+            return int(v)
+        if isinstance(v, dict):
+            return {str(k): plain(x) for k, x in v.items()}
+        return [plain(x) for x in v] if isinstance(v, list | tuple) else v
+
+    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
 def joint_kinds(many: list[list[str]]) -> list[str]:
     return [k.pop() if len(k := set(ks)) == 1 else "json" for ks in zip(*many)]
 
@@ -55,7 +67,7 @@ def from_tuples(spark: SparkSession, rows: list[tuple]) -> Relation:
         return "json" if v is None or isinstance(v, list | dict) else literal(v)[1]
 
     kinds = joint_kinds([[kind(v) for v in r] for r in rows])
-    encode = lambda v, k: json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False) if k == "json" else int(v) if k == "integer" else v
+    encode = lambda v, k: canonical(v) if k == "json" else int(v) if k == "integer" else v
     data = list(dict.fromkeys(tuple(encode(v, k) for v, k in zip(r, kinds, strict=True)) for r in rows))
     schema = ", ".join(f"c{i} {SQL_TYPES[k]}" for i, k in enumerate(kinds))
     return Relation(spark.createDataFrame(data, schema), kinds)
