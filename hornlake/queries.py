@@ -71,7 +71,7 @@ program("q29_average", "lineitem", "s(F, S) :- S = sum(Q) : lineitem(_, _, _, _,
 program("q30_arithmetic", "lineitem", "goal(O, N, R) :- lineitem(O, _, _, N, _, P, D, _, _, _, _), R is P * (1 - D), R > 50000.", "o bigint, n bigint, r double", "SELECT DISTINCT CAST(l_orderkey AS BIGINT) o, CAST(l_linenumber AS BIGINT) n, l_extendedprice * (1 - l_discount) r FROM lineitem WHERE l_extendedprice * (1 - l_discount) > 50000")
 program("q31_div_mod", "orders", "goal(K, D, M) :- orders(K, _, _, _, _, _), D is K / 7, M is K mod 7.", "k bigint, d bigint, m bigint", "SELECT DISTINCT CAST(o_orderkey AS BIGINT) k, CAST(o_orderkey // 7 AS BIGINT) d, CAST(o_orderkey % 7 AS BIGINT) m FROM orders")
 program("q32_div_zero", "customer", "goal(K, X) :- customer(K, _, _, _, _), X is 10 / (K mod 3).", "k bigint, x bigint", "SELECT CAST(c_custkey AS BIGINT) k, CAST(10 // (c_custkey % 3) AS BIGINT) x FROM customer WHERE c_custkey % 3 <> 0")
-program("q33_contains", "part", 'goal(K, N) :- part(K, N, _, _, _, _), @contains(N, "1").', "k bigint, n string", "SELECT CAST(p_partkey AS BIGINT) k, p_name n FROM part WHERE contains(p_name, '1')")
+program("q33_contains", "part", 'goal(K, N) :- part(K, N, _, _, _, _), @contains(N, "ar").', "k bigint, n string", "SELECT CAST(p_partkey AS BIGINT) k, p_name n FROM part WHERE contains(p_name, 'ar')")
 program("q34_starts_with", "pages", 'goal(P, U) :- pages(P, U, _), @starts_with(U, "https://").', "p bigint, u string", "SELECT CAST(page_id AS BIGINT) p, url u FROM pages WHERE starts_with(url, 'https://')")
 program("q35_ends_with", "pages", 'goal(P, U) :- pages(P, U, _), @ends_with(U, "1").', "p bigint, u string", "SELECT CAST(page_id AS BIGINT) p, url u FROM pages WHERE ends_with(url, '1')")
 program("q36_regex_match", "documents", 'goal(D) :- documents(D, T, _, _, _), @regex_match(T, "[0-9]{3}-[0-9]{4}").', "d bigint", "SELECT CAST(doc_id AS BIGINT) d FROM documents WHERE regexp_matches(text, '[0-9]{3}-[0-9]{4}')")
@@ -126,7 +126,18 @@ matcher("q55_matcher_contains", "pages", "url", "contains", ["page", "src1", "/2
 matcher("q56_matcher_ci_ends_with", "pages", "url", "ends_with", ["7", "HTML", "/X"], "ends_with(lower(url), lower(pattern))", case_insensitive=True)
 matcher("q57_matcher_regex", "documents", "text", "regex_match", ["[0-9]{4}", "idiot|moron", "^The"], "regexp_matches(text, pattern)")
 matcher("q58_matcher_windash", "documents", "text", "contains", ["-1", "/a", "scum"], "contains(text, pattern) OR (pattern = '-1' AND contains(text, '/1')) OR (pattern = '/a' AND contains(text, '-a'))", windash=True)
-matcher("q59_matcher_base64", "pages", "html", "base64", ["password", "script"], "contains(html, CASE pattern WHEN 'password' THEN 'cGFzc3dvcm' ELSE 'c2NyaXB0' END) OR contains(html, CASE pattern WHEN 'password' THEN 'Bhc3N3b3Jk' ELSE 'NjcmlwdA' END) OR contains(html, CASE pattern WHEN 'password' THEN 'wYXNzd29yZ' ELSE 'zY3JpcH' END)")
+
+
+def q59_matcher_base64(spark, sf_dir):
+    coded = table(spark, sf_dir, "benchmark").select(F.translate(F.base64(F.encode("text", "utf-8")), "\r\n", "").alias("coded"))
+    return matchers.match(coded, "coded", "base64", ["thing", "the on"]).toDF("value", "pattern")
+
+
+QUERIES["q59_matcher_base64"] = q59_matcher_base64
+SQL["q59_matcher_base64"] = """SELECT DISTINCT coded AS value, pattern FROM (SELECT to_base64(encode(text)) coded FROM benchmark), (VALUES ('thing'), ('the on')) p(pattern)
+WHERE contains(coded, substr(to_base64(encode(pattern)), 1, length(pattern) * 8 // 6))
+OR contains(coded, substr(to_base64(encode('a' || pattern)), 3, (length(pattern) + 1) * 8 // 6 - 2))
+OR contains(coded, substr(to_base64(encode('aa' || pattern)), 4, (length(pattern) + 2) * 8 // 6 - 3))"""
 
 
 def q60_matcher_cidr(spark, sf_dir):
