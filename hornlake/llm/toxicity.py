@@ -184,11 +184,12 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(uid, doc_id, score, evidence) per document; uid is row_key() of (doc_id, text)."""
     spark = docs.sparkSession
     rows = id_text(docs).withColumn("uid", row_key()).select("uid", "doc_id", "text")
+    nothing = F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("evidence")
     picked, thin = sample(labels)
     picked = materialize(picked)
     sizes = {r.toxic: r["count"] for r in picked.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
-        return rows.select("uid", "doc_id", F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("evidence"))
+        return rows.select("uid", "doc_id", *nothing)
     texts = rows.join(F.broadcast(picked), "doc_id").select("text", "toxic")  # at most 2 x SAMPLE ids
     held = texts.mapInArrow(_terms, "term string, toxic int").groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t"))
     n1, n0 = float(sizes[1]), float(sizes[0])
@@ -208,6 +209,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         examples.append((ids, weights, r.toxic, thin[r.toxic], r.doc_id))
         if len(examples) >= 4 * SAMPLE:
             break  # repeated rows of labelled ids, beyond the documented bound of the fit
+    if {e[2] for e in examples} != {0, 1}:
+        return rows.select("uid", "doc_id", *nothing)
     index = BlockMaxIndex(examples, len(terms), len(idf))
     entry = {(tuple(e[4]), tuple(np.round(e[5], 9))): n for n, e in enumerate(index.entries)}
     votes: dict[tuple, float] = {}
