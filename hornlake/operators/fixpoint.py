@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..plans.analysis import check_rule, needed, strata
 from ..plans.language import Atom, ProgramError, Query, Rule, Var, parse, variables
-from ..sources.database import Database, Relation, from_tuples, joint_kinds, union
+from ..sources.database import Database, Relation, from_frame, from_tuples, joint_kinds, union
 from ..sources.storage import materialize
 from .rules import Functions, derive
 
@@ -52,10 +52,16 @@ def closure_rule(rule: Rule, rules: list[Rule]) -> Rule:
 
 
 class Program:
-    """A parsed and checked rule program."""
+    """A parsed and checked rule program.
 
-    def __init__(self, text: str, functions: Functions | None = None, max_rounds: int = MAX_ROUNDS, fact_limit: int | None = None):
+    externals: (predicate, arity) -> function of {position: frame with the distinct values that can
+    matter in a column `value`} to a DataFrame; it is called once per evaluation.  A position is left out where some
+    occurrence has neither a constant nor a variable that an atom over loaded relations binds.
+    """
+
+    def __init__(self, text: str, functions: Functions | None = None, max_rounds: int = MAX_ROUNDS, fact_limit: int | None = None, externals: dict | None = None):
         statements = parse(text)
+        self.externals = externals or {}
         self.functions = functions or Functions()
         self.rules = [s for s in statements if isinstance(s, Rule)]
         self.queries = [s for s in statements if isinstance(s, Query)]
@@ -68,6 +74,9 @@ class Program:
         """db with the derived relations, of the goals' rules only if goals are given."""
         rules = needed(self.rules, goals) if goals else self.rules
         self.profile = []
+        for key, fetch in self.externals.items():
+            if fetched := self._external(db, key, fetch, rules):
+                db = db.extend({key: fetched})
         for group in self.order:
             own = [r for r in rules if r.head.name in group]
             if own:
@@ -76,6 +85,31 @@ class Program:
                 self.profile.append(Stratum(group, len(own), rounds, facts, time.time() - began))
         return db
 
+    def _external(self, db: Database, key: tuple[str, int], fetch, rules: list[Rule]) -> Relation | None:
+        uses = [(r, b) for r in rules for b in r.body if isinstance(b, Atom) and (b.name, len(b.terms)) == key]
+        if not uses:
+            return None
+        derived = {r.head.name for r in self.rules}
+        values = {}
+        for i in range(key[1]):
+            parts = [self._candidates(db, r, b.terms[i], derived | set(n for n, _ in self.externals)) for r, b in uses]
+            if all(p is not None for p in parts):
+                values[i] = reduce(lambda a, b: a.unionByName(b), parts).distinct()
+        rel = from_frame(fetch(values))
+        if len(rel.kinds) != key[1]:
+            raise ProgramError(f"{key[0]} gave {len(rel.kinds)} columns, not {key[1]}")
+        return Relation(rel.df.distinct(), rel.kinds)
+
+    @staticmethod
+    def _candidates(db: Database, rule: Rule, term, unknown: set[str]):
+        """(value) the distinct values a term of an external atom can take, None if they are not known."""
+        if not isinstance(term, Var):
+            return from_tuples(db.spark, [(term.value,)]).df.toDF("value")
+        for b in rule.body:
+            if isinstance(b, Atom) and not b.negated and b.name not in unknown and term in b.terms and (b.name, len(b.terms)) in db.relations:
+                return db.relations[b.name, len(b.terms)].df.select(F.col(f"c{b.terms.index(term)}").alias("value")).distinct()
+        return None
+
     def _group(self, db: Database, group: list[str], rules: list[Rule]) -> tuple[Database, int, int]:
         facts: dict[tuple[str, int], list[tuple]] = {}
         for r in rules:

@@ -13,7 +13,7 @@ from .operators import matchers
 from .operators.fixpoint import Program
 from .operators.relational import select
 from .operators.rules import Functions
-from .sources.database import Database, Relation, from_tuples
+from .sources.database import Database, from_tuples
 
 JSON_COLUMNS = {"events": ("props",)}
 QUERIES: dict = {}
@@ -106,9 +106,9 @@ program("q62_taint", "part events", EDGES + 'goal(X) :- events(_, _, X, "error",
 def q54_external(spark, sf_dir):
     """A relation that a function supplies for the keys that the program can ask for."""
     db = Database.tables(spark, sf_dir, names=["nation"])
-    looked_up = db.facts("nation", 3).select("c0", F.concat(F.lit("code-"), F.col("c0").cast("string")).alias("c1"))
-    db = db.extend({("code", 2): Relation(looked_up, ["integer", "string"])})
-    return Program("goal(N, C) :- nation(K, N, _), code(K, C).").transform(db).facts("goal", 2).toDF("n", "c")
+    fetch = lambda keys: keys[0].select("value", F.concat(F.lit("code-"), F.col("value").cast("string")))
+    made = Program("goal(N, C) :- nation(K, N, _), code(K, C).", externals={("code", 2): fetch})
+    return made.transform(db).facts("goal", 2).toDF("n", "c")
 
 
 QUERIES["q54_external"] = q54_external

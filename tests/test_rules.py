@@ -121,3 +121,17 @@ def test_random_graphs(spark, seed):
     reach = closure(edges)
     left = {x: sum((x, y) not in reach for y in nodes) for x in nodes}
     assert got == sorted(((x, n) for x, n in left.items() if n), key=str)
+
+
+def test_externals(spark):
+    asked = []
+
+    def fetch(values):
+        asked.append({i: sorted(r.value for r in v.collect()) for i, v in values.items()})
+        return spark.createDataFrame([(1, "one"), (2, "two"), (9, "nine")], "k bigint, n string")
+
+    db = Database(spark, {("p", 1): from_tuples(spark, [(1,), (2,)])})
+    out = Program("r(X, N) :- p(X), name(X, N). s(N) :- name(9, N).", externals={("name", 2): fetch}).transform(db)
+    assert asked == [{0: [1, 2, 9]}]
+    assert sorted(map(tuple, out.facts("r", 2).collect())) == [(1, "one"), (2, "two")]
+    assert [tuple(r) for r in out.facts("s", 1).collect()] == [("nine",)]
