@@ -192,7 +192,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     texts = rows.repartition(partitions(spark), "uid")
     all_runs = materialize(rows.select("uid", "text").mapInArrow(_runs, "uid bigint, at bigint, n int, key bigint, region bigint"))
     keys = all_runs.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("region").alias("lo"), F.max("region").alias("hi"))
-    keys = keys.where("rows > 1").selectExpr("key", "lo <> hi AS mixed")
+    keys = materialize(keys.where("rows > 1").selectExpr("key", "lo <> hi AS mixed"))  # so that a hot key's join can be split
     met = materialize(all_runs.join(keys, "key"))
 
     kinds = met.where("mixed").groupBy("key", "region").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("uid", "at", "n")).alias("one"))
