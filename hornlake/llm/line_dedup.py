@@ -71,7 +71,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 3) -> DataFrame:
     known = materialize(parsed_lines(rows))
     per_doc = materialize(known.where("n_tokens > 0").groupBy(*TEMPLATE, "uid").agg(F.min("line_no").alias("line_no")))
     recurring = per_doc.groupBy(*TEMPLATE).agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).select(*TEMPLATE)
-    dropped = recurring.unionByName(generalised(texts, known, per_doc, min_docs)).distinct()
+    dropped = materialize(recurring.unionByName(generalised(texts, known, per_doc, min_docs)).distinct())  # so that a hot template's join can be split
     flags = known.join(dropped.withColumn("drop", F.lit(True)), TEMPLATE, "left")
     flags = flags.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.array_sort(F.collect_set(F.struct("line_no", F.coalesce("drop", F.lit(False)).alias("drop")))).alias("flags"))
     out = texts.join(flags.hint("shuffle_hash"), "uid")
