@@ -10,6 +10,7 @@ import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .values import to_json
 
@@ -31,9 +32,17 @@ def java_pattern(pattern: str) -> str:
     return "".join(out).replace("(?P<", "(?<")
 
 
+def _search(text, pattern):
+    """A pattern that varies by row; one that does not compile matches nothing, where rlike would fail the query."""
+    try:
+        return text is not None and pattern is not None and re.search(pattern, text) is not None
+    except re.error:
+        return False
+
+
 def text_test(name: str, hay: Column, needle: Column, constant) -> Column:
     if name == "@regex_match":
-        test = hay.rlike(java_pattern(constant)) if isinstance(constant, str) else F.call_function("rlike", hay, needle)
+        test = hay.rlike(java_pattern(constant)) if isinstance(constant, str) else F.udf(_search, T.BooleanType(), useArrow=True)(hay, needle)
     else:
         test = {"@contains": hay.contains, "@starts_with": hay.startswith, "@ends_with": hay.endswith}[name](needle)
     return F.coalesce(test, F.lit(False))
@@ -72,7 +81,7 @@ def json_type(value):
         return F.lit(kind), "string"
     first = F.substring(c, 1, 1)
     number = F.when(c.rlike("^-?[0-9]+$"), "integer").otherwise("float")
-    return F.when(first == "{", "object").when(first == "[", "array").when(first == '"', "string").when(first == "n", "null").when(first.isin("t", "f"), "bool").otherwise(number), "string"
+    return F.when(first == "{", "object").when(first == "[", "array").when(first == '"', "string").when(first == "n", "null").when(first == "#", "id").when(first.isin("t", "f"), "bool").otherwise(number), "string"
 
 
 def json_slice(whole, start):

@@ -1,11 +1,13 @@
-"""Values by kind: integer, float, string, bool, and json for everything else.
+"""Values by kind: integer, float, string, bool, id (synthetic, equal to ids only), and json for everything else.
 
 json is the encoding of values whose kind varies by row: canonical JSON text, so that equal texts are
-equal values and null is a value.  Columns of one kind stay native, for pushdown and code generation.
+equal values and null is a value; an id among them is # and its number, which no JSON text is.  Columns of one kind stay native, for pushdown and code generation.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,10 @@ from pyspark.sql import types as T
 NUMBERS = ("integer", "float")
 
 
+class Id(int):
+    """A synthetic id as a constant."""
+
+
 def kind_of(dtype: T.DataType) -> str:
     if isinstance(dtype, T.ByteType | T.ShortType | T.IntegerType | T.LongType):
         return "integer"
@@ -36,10 +42,14 @@ def literal(value) -> tuple[Column, str]:
         return F.lit("null"), "json"
     if isinstance(value, bool):
         return F.lit(value), "bool"
+    if isinstance(value, Id):
+        return F.lit(int(value)).cast("bigint"), "id"
     if isinstance(value, int):
         return F.lit(value).cast("bigint"), "integer"
     if isinstance(value, float):
         return F.lit(value), "float"
+    if isinstance(value, list | dict):
+        return F.lit(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)), "json"
     return F.lit(value), "string"
 
 
@@ -47,6 +57,8 @@ def to_json(column: Column, kind: str) -> Column:
     """Canonical JSON text of a value."""
     if kind == "json":
         return column
+    if kind == "id":
+        return F.concat(F.lit("#"), column.cast("string"))
     if kind == "float":
         whole = (column == F.floor(column)) & (F.abs(column) < F.lit(2.0**63))
         return F.when(whole, column.cast("decimal(20,0)").cast("string")).otherwise(column.cast("string"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..plans.analysis import check_rule, needed, strata
 from ..plans.language import Atom, ProgramError, Query, Rule, Var, parse, variables
+from ..sources.config import check_types
 from ..sources.database import Database, Relation, from_frame, from_tuples, joint_kinds, union
 from ..sources.storage import materialize
 from .rules import Functions, derive
@@ -57,23 +58,32 @@ class Program:
     externals: (predicate, arity) -> function of {position: frame with the distinct values that can
     matter in a column `value`} to a DataFrame; it is called once per evaluation.  A position is left out where some
     occurrence has neither a constant nor a variable that an atom over loaded relations binds.
+    declarations: constants and arities of rules are checked against them.
+    trace: keep what each round of a recursive group added, in `rounds`, for provenance.Explainer; rules are
+    then evaluated as they stand, without doubling.
     """
 
-    def __init__(self, text: str, functions: Functions | None = None, max_rounds: int = MAX_ROUNDS, fact_limit: int | None = None, externals: dict | None = None):
+    def __init__(self, text: str, functions: Functions | None = None, max_rounds: int = MAX_ROUNDS, fact_limit: int | None = None, externals: dict | None = None, declarations: list[dict] | None = None, trace: bool = False):
         statements = parse(text)
-        self.externals = externals or {}
+        self.externals, self.trace = externals or {}, trace
+        self.rounds: dict[tuple[str, int], list[tuple[int, Relation]]] = {}
         self.functions = functions or Functions()
         self.rules = [s for s in statements if isinstance(s, Rule)]
         self.queries = [s for s in statements if isinstance(s, Query)]
         self.max_rounds, self.fact_limit, self.profile = max_rounds, fact_limit, []
         for r in self.rules:
             check_rule(r, self.functions.arities(), self.functions.outputs())
+        check_types(self.rules, declarations or [])
         self.order = strata(self.rules)
 
+    def group_of(self, name: str) -> list[str]:
+        """The predicates that are evaluated together with one."""
+        return next((g for g in self.order if name in g), [])
+
     def transform(self, db: Database, goals: set[str] | None = None) -> Database:
         """db with the derived relations, of the goals' rules only if goals are given."""
         rules = needed(self.rules, goals) if goals else self.rules
-        self.profile = []
+        self.profile, self.rounds = [], {}
         for key, fetch in self.externals.items():
             if fetched := self._external(db, key, fetch, rules):
                 db = db.extend({key: fetched})
@@ -127,7 +137,7 @@ class Program:
             db = db.extend({key: rels[0] if len(rels) == 1 else (lambda u: Relation(u.df.distinct(), u.kinds))(union(rels))})
         if not loops:
             return db, 1, -1
-        return self._loop(db, group, [closure_rule(r, rules) for r in loops])
+        return self._loop(db, group, loops if self.trace else [closure_rule(r, rules) for r in loops])
 
     def _loop(self, db: Database, group: list[str], loops: list[Rule]) -> tuple[Database, int, int]:
         pieces: dict[tuple[str, int], list[Relation]] = {}
@@ -135,6 +145,8 @@ class Program:
             if key[0] in group:
                 pieces[key] = [Relation(materialize(rel.df.distinct()), rel.kinds)]
         delta = {k: v[0] for k, v in pieces.items()}
+        if self.trace:
+            self.rounds |= {k: [(0, v)] for k, v in delta.items()}
         total = sum(r.df.count() for r in delta.values())
         rounds = 0
         while True:
@@ -159,6 +171,8 @@ class Program:
                 fresh = Relation(materialize(fresh.df), fresh.kinds)
                 if n := fresh.df.count():
                     delta[key], total = fresh, total + n
+                    if self.trace:
+                        self.rounds.setdefault(key, []).append((rounds + 1, fresh))
                     pieces.setdefault(key, []).append(fresh)
                     if len(pieces[key]) > COMPACT_ROUNDS:
                         whole = union(pieces[key])

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from .operators.fixpoint import Program, run_query
-from .operators.rules import Functions, solve
-from .plans.language import Atom, Const, Rule, Var, parse, variables
+from .operators.provenance import MAX_DEPTH, MAX_NODES, Derivation, Explainer
+from .operators.rules import Functions
+from .plans.language import Atom, parse
 from .sources.database import Database
 
 
@@ -15,15 +16,15 @@ class Session:
 
     def __init__(self, db: Database, rules: str = "", functions: Functions | None = None):
         self.db, self.functions = db, functions or Functions()
-        self.text, self.cached = rules, None
+        self.text, self.cached, self.traced = rules, None, None
         self.program = Program(rules, self.functions)
 
     def set_rules(self, rules: str) -> None:
         """Replace the rules; if they are not valid the old ones stay."""
-        self.program, self.text, self.cached = Program(rules, self.functions), rules, None
+        self.program, self.text, self.cached, self.traced = Program(rules, self.functions), rules, None, None
 
     def set_data(self, db: Database) -> None:
-        self.db, self.cached = db, None
+        self.db, self.cached, self.traced = db, None, None
 
     def derived(self) -> Database:
         if self.cached is None:
@@ -65,44 +66,27 @@ class Session:
 
         return {"reads": reach(name, True), "read_by": reach(name, False)}
 
+    def explainer(self) -> Explainer:
+        if self.traced is None:
+            self.traced = Explainer(Program(self.text, self.functions, trace=True), self.db)
+        return self.traced
+
     def explain(self, fact: str) -> dict | None:
-        """One derivation of a ground fact: {"fact", "rule", "premises"}; rule None for a base fact.
+        """One derivation of a ground fact: {"fact", "rule", "premises", "detail", "solutions"}; rule None for a base fact.
 
-        None if the fact is not there.  Premises are positive body atoms with the values of one witness.
+        None if the fact is not there.  Premises are positive body atoms with the values of one
+        witness, of an aggregate those of its first sampled solution, whose number is in "solutions".
         """
-        head = parse(fact.rstrip(". ") + ".")[0].head
-        db = self.derived()
-        if db.query(head.name, *[t.value for t in head.terms]).limit(1).count() == 0:
+        found = self.explainer().step(ground(fact))
+        if found is None:
             return None
-        if self.db.query(head.name, *[t.value for t in head.terms]).limit(1).count():
-            return {"fact": str(head), "rule": None, "premises": []}
-        for rule in self.program.rules:
-            if rule.head.name != head.name or len(rule.head.terms) != len(head.terms) or rule.aggregate:
-                continue
-            if not rule.body:
-                if rule.head == head:
-                    return {"fact": str(head), "rule": str(rule), "premises": []}
-                continue
-            bound = {t.name: v for t, v in zip(rule.head.terms, head.terms, strict=True) if isinstance(t, Var)}
-            if any(isinstance(t, Const) and t != v for t, v in zip(rule.head.terms, head.terms, strict=True)):
-                continue
-            names = sorted(n for n in set().union(*map(variables, rule.body)) if n[0] not in "?" and n not in bound)
-            swap = lambda t: bound.get(t.name, t) if isinstance(t, Var) else t
-            body = tuple(Atom(b.name, tuple(map(swap, b.terms)), b.negated) if isinstance(b, Atom) else _substitute(b, bound) for b in rule.body)
-            witness = Rule(Atom("_w", tuple(Var(n) for n in names)), body)
-            found = solve(witness, db, self.functions)
-            row = found and found[0].df.limit(1).collect()
-            if row:
-                held = bound | {n: Const(row[0][f"v_{n}"]) for n in names if f"v_{n}" in row[0].asDict()}
-                premises = [str(Atom(b.name, tuple(held.get(t.name, t) if isinstance(t, Var) else t for t in b.terms))) for b in rule.body if isinstance(b, Atom) and not b.negated and b.name[0] != "@"]
-                return {"fact": str(head), "rule": str(rule), "premises": premises}
-        return {"fact": str(head), "rule": None, "premises": []}
-
-
-def _substitute(x, bound: dict):
-    """The literal or expression with variables replaced by constants."""
-    if isinstance(x, Var):
-        return bound.get(x.name, x)
-    if isinstance(x, Const):
-        return x
-    return type(x)(*[_substitute(v, bound) if not isinstance(v, str) else v for v in x.__dict__.values()])
+        one = found.body[0] if found.group else found
+        return {"fact": str(found.fact), "rule": found.rule, "premises": [str(b.fact) for b in one.body], "detail": one.detail, "solutions": found.group}
+
+    def explain_tree(self, fact: str, max_depth: int = MAX_DEPTH, max_nodes: int = MAX_NODES) -> Derivation | None:
+        """The derivation of a ground fact down to base facts, None if the fact is not there."""
+        return self.explainer().tree(ground(fact), max_depth, max_nodes)
+
+
+def ground(fact: str) -> Atom:
+    return parse(fact.rstrip(". ") + ".")[0].head

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import literal, native, to_json
 
-SQL_TYPES = {"integer": "bigint", "float": "double", "string": "string", "bool": "boolean", "json": "string"}
+SQL_TYPES = {"integer": "bigint", "float": "double", "string": "string", "bool": "boolean", "id": "bigint", "json": "string"}
 
 
 @dataclass

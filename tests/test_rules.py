@@ -6,7 +6,8 @@ from hypothesis import strategies as st
 
 from hornlake.operators.fixpoint import Program, run_query
 from hornlake.operators.rules import Functions
-from hornlake.plans.language import Const, ProgramError, Rule, parse
+from hornlake.plans import store
+from hornlake.plans.language import Const, ProgramError, Rule, doc_warnings, parse
 from hornlake.session import Session
 from hornlake.sources.database import Database, canonical, from_tuples
 
@@ -135,3 +136,54 @@ def test_externals(spark):
     assert asked == [{0: [1, 2, 9]}]
     assert sorted(map(tuple, out.facts("r", 2).collect())) == [(1, "one"), (2, "two")]
     assert [tuple(r) for r in out.facts("s", 1).collect()] == [("nine",)]
+
+
+def test_explanations(spark):
+    text = """
+    %% what follows what
+    r(X, Y) :- e(X, Y).
+    r(X, Y) :- r(X, Z), e(Z, Y).
+    n(X, N) :- N = count : r(X, _).
+    far(X) :- n(X, N), N > 2, not stop(X), M is N + 1, @starts_with("abc", "a").
+    """
+    edges = [(1, 2), (2, 3), (3, 1), (5, 1)]
+    s = Session(Database(spark, {("e", 2): from_tuples(spark, edges)}), text)
+    tree = s.explain_tree("far(5)")
+    assert str(tree.body[0].fact) == "n(5, 3)" and tree.body[0].group == 3 and len(tree.body[0].body) == 3
+    assert tree.detail == ["3 > 2", "not stop(5)", "4 is (3 + 1)", '@starts_with("abc", "a")']
+
+    def leaves(d):
+        return [d] if not d.body else [x for b in d.body for x in leaves(b)]
+
+    assert all(x.fact.name == "e" or x.repeated for x in leaves(tree))
+    assert {str(x.fact) for x in leaves(tree) if x.fact.name == "e"} <= {f"e({a}, {b})" for a, b in edges}
+    loop = s.explain_tree("r(1, 1)")  # a fact on a cycle is never its own premise
+    assert "r(1, 1)" not in {str(x.fact) for b in loop.body for x in [b, *leaves(b)]}
+    assert s.explain_tree("far(1)") is not None and s.explain_tree("far(9)") is None
+    assert s.explain_tree("r(5, 3)", max_depth=1).body[0].truncated
+    assert s.explain("n(5, 3)")["solutions"] == 3 and s.explain("n(5, 4)") is None
+    assert s.explain("e(1, 2)")["rule"] is None
+
+
+def test_declarations():
+    known = [{"name": "p", "terms": [{"name": "a", "type": "integer"}, {"name": "b"}]}, {"name": "free"}]
+    Program('r(X) :- p(1, X), free(X, 2), q("x").', declarations=known)
+    for bad in ('r(X) :- p("a", X).', "r(X) :- p(X).", "p(1.5, 2)."):
+        with pytest.raises(ProgramError):
+            Program(bad, declarations=known)
+
+
+def test_rule_store(tmp_path):
+    text = "%% first\na(X) :- b(X).\nc(1, 2).\na(X) :- d(X), not c(X, _)."
+    assert store.export(text, f"{tmp_path}") == ["a_1.dl", "c_2.dl"]
+    assert parse(store.read(f"{tmp_path}")) == [parse(text)[i] for i in (0, 2, 1)]
+    assert parse(store.read(f"{tmp_path}"))[0].doc == "first"
+    (tmp_path / "x_3.dl").write_text("y(1).")
+    with pytest.raises(ProgramError):
+        store.read(f"{tmp_path}")
+    assert doc_warnings("%% lost\n\np(1).") and not doc_warnings("%% kept\np(1).")
+
+
+def test_patterns_that_vary_by_row(spark):
+    data = {"p": [("abc", "^a"), ("abc", "("), ("abc", "x")]}
+    assert facts(spark, "r(P) :- p(T, P), @regex_match(T, P).", "r", 1, data) == [("^a",)]

@@ -1,12 +1,14 @@
 import gzip
 import json
+import zipfile
 
 import pytest
 
 from hornlake.operators import matchers
 from hornlake.operators.relational import select
 from hornlake.sources.database import Database, from_tuples
-from hornlake.sources.jsonl import encode, load, mapped, read_patterns, records
+from hornlake.sources.config import ConfigError, check, mistyped, read_config, read_patterns, term_names
+from hornlake.sources.jsonl import browse, encode, load, mapped, probe, records, rejected
 from hornlake.sources.mapping import MappingError
 from hornlake.streaming.operators import rate_limited, reevaluate, subscribed
 from hornlake.operators.fixpoint import Program
@@ -17,11 +19,11 @@ def test_jsonl(spark, tmp_path):
     with gzip.open(tmp_path / "x.jsonl.gz", "wt") as f:
         f.write("﻿" + "\n\n".join(map(json.dumps, rows)) + "\n")
     config = {
-        "sources": [{"path": "x.jsonl.gz", "mappings": [
+        "sources": [{"file": "x.jsonl.gz", "mappings": [
             {"predicate": "ev", "args": ["value.id", "value.deep.n ?? 0"], "filter": 'value.kind in ["A", "B"] && value.id != 5'},
             {"predicate": "cmd", "args": ["value.cmd"], "filter": 'value.kind == "A"'},
         ]}],
-        "matchers": [{"predicate": "cmd", "term": 0, "kind": "contains", "patterns": ["/ENC"], "case_insensitive": True, "windash": True}],
+        "matchers": [{"predicate": "cmd", "term": 0, "contains": ["/ENC"], "case_insensitive": True, "windash": True}],
     }
     db = load(spark, config, f"{tmp_path}/")
     assert sorted(map(tuple, db.facts("ev", 2).collect())) == [("1", "0"), ("2", "3")]
@@ -71,3 +73,76 @@ def test_streams(spark, tmp_path):
     q = limited.writeStream.format("memory").queryName("limited").outputMode("append").start()
     q.processAllAvailable(), q.stop()
     assert sorted((r.seconds, r.allowed) for r in spark.table("limited").collect()) == [(1.0, True), (2.0, False), (20.0, True)]
+
+
+MAILS = [
+    {"from": "a", "to": ["x", "y", "y"], "files": [{"n": "f", "h": 1}, {"n": "g"}], "text": "-enc abc"},
+    {"from": "a", "to": ["x"], "text": 5},
+    {"from": "a", "to": ["x"], "text": 5},
+]
+PROGRAM = """
+let id = fresh_id();
+let who = value.from;
+assert("mail", [id, who]);
+map(value.to, assert("to", [id, #]));
+map(value.files, (
+  let fid = fresh_id();
+  assert("file", [id, fid, #.n, #.h])
+));
+match_contains("hit", id, value.text, ["enc", "zzz"]);
+match_regex("like", who, value.text, ["^-", "("]);
+value.text == 5 ? assert("five", [id]) : assert("other", [id]);
+value.text == 5 && assert("kind", [value.text]);
+"""
+
+
+def test_imperative_mappings(spark, tmp_path):
+    (tmp_path / "m.jsonl").write_text("\n".join(map(json.dumps, MAILS)))
+    (tmp_path / "words.txt").write_text("# names\nx\n")
+    (tmp_path / "c.yaml").write_text(
+        "sources:\n  - file: m.jsonl\n    mappings:\n      - expr: |\n" + "".join(f"          {line}\n" for line in PROGRAM.splitlines())
+        + "      - {predicate: sender, args: [value.from]}\nmatchers:\n  - {predicate: to, term: 1, contains_from: words.txt}\n"
+        + "declarations:\n  - {name: mail, terms: [{name: id, type: id}, {name: from, type: integer}]}\n"
+    )
+    config = read_config(f"{tmp_path}/c.yaml")
+    db = load(spark, config, f"{tmp_path}/")
+    rows = lambda name, n: sorted(map(tuple, db.facts(name, n).collect()), key=str)
+    mails = rows("mail", 2)
+    assert len({i for i, _ in mails}) == 3 and {w for _, w in mails} == {'"a"'}
+    assert len(rows("to", 2)) == 4 and {i for i, _ in rows("to", 2)} == {i for i, _ in mails}
+    files = rows("file", 4)
+    assert sorted(f[2:] for f in files) == [('"f"', "1"), ('"g"', "null")]
+    assert len({f[1] for f in files} | {i for i, _ in mails}) == 5
+    assert [r[1] for r in rows("hit", 2)] == ["enc"] and rows("like", 2) == [('"a"', "^-")]
+    assert len(rows("five", 1)) == 2 and len(rows("other", 1)) == 1 and rows("kind", 1) == [("5",)]
+    assert rows("contains", 2) == [("x", "x")] and rows("sender", 1) == [('"a"',)]
+    out = Program('r(T) :- mail(I, _), to(I, T). n(I) :- mail(I, _), I = 1. t(T) :- mail(I, _), @json_type(I, T).').transform(db)
+    assert sorted(r[0] for r in out.facts("r", 1).collect()) == ['"x"', '"y"']
+    assert out.facts("n", 1).count() == 0 and [r[0] for r in out.facts("t", 1).collect()] == ["id"]
+    assert mistyped(db.relations["mail", 2], config["declarations"][0]).count() == 3
+    line = json.loads(encode(db.relations["mail", 2], "mail", term_names(config["declarations"])["mail", 2]).first().value)
+    assert line["mail"]["from"] == "a" and line["mail"]["id"] in {i for i, _ in mails}
+    assert probe(spark, 'assert("seen", [value.host]); map(value.l, assert("e", [#]))', {"host": "h", "l": [1]}) == {"seen": [('"h"',)], "e": [("1",)]}
+    for bad in ('assert(value.x, [1])', 'assert("p", value)', "launch(1)", 'map(value.l, assert("p", [#])'):
+        with pytest.raises(MappingError):
+            probe(spark, bad, {"x": 1})
+
+
+def test_archives_and_checks(spark, tmp_path):
+    schema = {"sources": [{"file": "m.jsonl", "mappings": [{"predicate": "p", "args": ["value.from"], "filter": "value.text"}]}]}
+    with zipfile.ZipFile(tmp_path / "all.zip", "w") as z:
+        z.writestr("m.jsonl", "\n".join(map(json.dumps, MAILS)))
+        z.writestr("s.json", json.dumps(schema))
+    config = read_config(f"{tmp_path}/all.zip")
+    assert config["sources"] == schema["sources"]
+    assert load(spark, config, f"{tmp_path}/all.zip/").facts("p", 1).count() == 0
+    assert rejected(records(spark, f"{tmp_path}/all.zip/m.jsonl"), "value.text").count() == 3
+    assert [r.value for r in browse(spark, f"{tmp_path}/all.zip/m.jsonl", 1, 1).collect()] == [json.dumps(MAILS[1])]
+    assert browse(spark, f"{tmp_path}/all.zip/m.jsonl", contains="-ENC").count() == 1
+    for bad in (
+        {"sources": [{"file": "x", "mappings": [{"predicate": "p", "expr": "1"}]}]}, {"sources": [{"file": "x", "mappings": [{}]}]},
+        {"matchers": [{"predicate": "p", "term": 0}]}, {"matchers": [{"predicate": "p", "term": 0, "cidr": ["nope"]}]},
+        {"matchers": [{"predicate": "p", "term": 0, "contains_from": "x"}]}, {"declarations": [{"name": "p", "terms": [{"name": "1"}, {}]}]},
+    ):
+        with pytest.raises(ConfigError):
+            check(bad)
