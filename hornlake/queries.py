@@ -14,6 +14,8 @@ from .operators.fixpoint import Program
 from .operators.relational import select
 from .operators.rules import Functions
 from .sources.database import Database, from_tuples
+from .sources.jsonl import merged
+from .sources.mapping import run_program
 
 JSON_COLUMNS = {"events": ("props",)}
 QUERIES: dict = {}
@@ -158,6 +160,49 @@ def q63_select_builder(spark, sf_dir):
 QUERIES["q63_select_builder"] = q63_select_builder
 SQL["q63_select_builder"] = "SELECT n_name, count(c_custkey) AS customers FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 0 WHERE n_regionkey < 4 GROUP BY n_name HAVING count(c_custkey) > 10 ORDER BY customers DESC, n_name LIMIT 10"
 
+# Records as a JSON-lines source gives them; a program asserts several relations over each.
+EVENT_PROGRAM = """
+let who = value.user_id;
+assert("event", [value.event_id, who, value.event_type]);
+value.event_type in ["error", "click"] && assert("watched", [value.event_id, value.detail.k]);
+map(value.tags, assert("tag", [who, #]));
+match_starts_with("kind", who, value.event_type, ["e", "pu"])
+"""
+
+
+def asserted(spark, sf_dir, text=EVENT_PROGRAM) -> Database:
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.from_json("props", "k bigint").alias("detail"), F.array("event_type", F.expr("concat('u', user_id % 7)")).alias("tags"))
+    records = events.select(F.try_parse_json(F.to_json(F.struct("*"))).alias("record"))
+    return Database(spark, {k: merged(v) for k, v in run_program(text, records).items()})
+
+
+def q64_imperative_mapping(spark, sf_dir):
+    out = Program("goal(U, N, K) :- n(U, N), top(U, K). n(U, N) :- N = count : event(E, U, T), watched(E, _). top(U, K) :- K = max(D) : event(E, U, _), watched(E, D).").transform(asserted(spark, sf_dir))
+    return out.facts("goal", 3).select(*[F.col(f"c{i}").cast("double").cast("bigint").alias(c) for i, c in enumerate(("u", "n", "k"))])
+
+
+def q65_mapped_list(spark, sf_dir):
+    out = Program("goal(T, N) :- N = count : tag(_, T).").transform(asserted(spark, sf_dir))
+    return out.facts("goal", 2).select(F.from_json(F.concat(F.lit("["), "c0", F.lit("]")), "array<string>")[0].alias("t"), F.col("c1").alias("n"))
+
+
+def q66_mapped_matches(spark, sf_dir):
+    return asserted(spark, sf_dir).facts("kind", 2).select(F.col("c0").cast("bigint").alias("u"), F.col("c1").alias("p"))
+
+
+def q67_fresh_ids(spark, sf_dir):
+    """Every record has an id of its own, the same in all relations that the program asserts."""
+    db = asserted(spark, sf_dir, 'let id = fresh_id(); assert("a", [id, value.event_type]); map(value.tags, assert("b", [id, #]))')
+    out = Program("goal(T, N) :- N = count : a(I, T), b(I, T).").transform(db)
+    return out.facts("goal", 2).select(F.from_json(F.concat(F.lit("["), "c0", F.lit("]")), "array<string>")[0].alias("t"), F.col("c1").alias("n"))
+
+
+QUERIES |= {q.__name__: q for q in (q64_imperative_mapping, q65_mapped_list, q66_mapped_matches, q67_fresh_ids)}
+SQL["q64_imperative_mapping"] = "SELECT user_id::BIGINT u, count(*)::BIGINT n, max(CAST(json_extract(props, '$.k') AS BIGINT)) k FROM events WHERE event_type IN ('error', 'click') GROUP BY 1"
+SQL["q65_mapped_list"] = "SELECT t, count(DISTINCT u)::BIGINT n FROM (SELECT user_id u, event_type t FROM events UNION ALL SELECT user_id, concat('u', user_id % 7) FROM events) GROUP BY 1"
+SQL["q66_mapped_matches"] = "SELECT DISTINCT user_id::BIGINT u, p FROM events, (VALUES ('e'), ('pu')) x(p) WHERE starts_with(event_type, p)"
+SQL["q67_fresh_ids"] = "SELECT event_type t, count(*)::BIGINT n FROM events GROUP BY 1"
+
 FLAGSHIP = """
 % Users with several error events of high detail, who share a value with another such user, reach others.
 hot(U, K) :- events(_, _, U, "error", V, {k: K}), V > 20.
