@@ -5,9 +5,9 @@ radius share a variant, and those that share one are within the radius, so a var
 linked to the least of them: links grow with the rows, never with a group's square.  Links are verified
 by their differing bits, and components spread over distinct fingerprints only.
 
-near_duplicates adds what a similarity threshold needs: several short fingerprints of the distinct
-two-word shingles find candidates (one long one within two bits would miss most pairs at 0.8), and each
-candidate pair is verified by the Jaccard similarity of its distinct five-word shingles.
+near_duplicates is an exact join for a similarity threshold, which fingerprints are not: documents that
+share a shingle of their prefixes (see buckets) are candidates, and candidate pairs are verified by the
+Jaccard similarity of their distinct five-word shingles until no pair could link two components.
 
 Defined cases: null is the empty text; no words give fingerprint zero, linked like any other; fewer
 words than a shingle form one; null ids are kept, a component of null ids has a null id; repeated rows
@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checked, chunks, components, id_text, materialize, row_key
+from .common import checked, chunks, components, forget, id_text, materialize, row_key
 
 SEED = 42
-TABLES, TABLE_BITS, TABLE_RADIUS = 6, 32, 2
-SHINGLE, SIMILAR, FAR_BITS = 5, 0.8, 48
+SHINGLE, HEADS = 5, 3  # the similarity is 4/5
+SAMPLED, COMMON = 5000, 200_000  # documents to sample at least, shingles that come last in prefixes
 
 
 def shingles(text: bytes, width: int) -> list[bytes]:
@@ -89,63 +89,119 @@ def simhash_components(docs: DataFrame, width: int = 3, radius: int = 2) -> Data
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-def _sketch(batches):
-    """(uid, size, tables): the number of distinct five-word shingles and TABLES short fingerprints."""
-    odd = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9]
-    for batch in (part for batch in batches for part in chunks(batch, 1)):
-        size, tables = [], []
-        for text in batch.column(1).to_pylist():
-            size.append(len(set(shingles(text, SHINGLE))))
-            h, found = _hashes(set(shingles(text, 2))), []
-            for k in odd:  # three streams of 64 bits from one hash
-                x = h * np.uint64(k)
-                x ^= x >> np.uint64(29)
-                x *= np.uint64(0xBF58476D1CE4E5B9)
-                fp = majority(x ^ (x >> np.uint64(32)))
-                found += [fp >> 32, fp & 0xFFFFFFFF]
-            tables.append(found)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(tables, pa.list_(pa.int64()))], ["uid", "size", "tables"])
-
-
 def _shingle_sets(batches):
     for batch in (part for batch in batches for part in chunks(batch, 1)):
         sets = [np.unique(_hashes(set(shingles(t, SHINGLE)))).view(np.int64) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["uid", "words"])
 
 
-def candidates(sketches: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of uids that meet in a ball of some table, whose sizes allow 0.8
-    and whose fingerprints differ in at most FAR_BITS bits over all tables.
+def common_shingles(rows: DataFrame) -> np.ndarray:
+    """At most COMMON hashes of shingles that several of the sampled documents hold, the rarest first.
 
-    At a similarity of 0.8 the bits that differ are about 18 of 192 (deviation 4), of unrelated texts
-    96 (deviation 7), so FAR_BITS keeps the one and drops the other before any text is fetched.
+    They only set the order in which prefixes are taken; which pairs are found doesn't depend on them.
     """
-    prints = sketches.select("uid", F.posexplode("tables").alias("t", "fp")).select("uid", F.shiftleft(F.col("t").cast("bigint"), TABLE_BITS).bitwiseOR(F.col("fp")).alias("key"))
-    heads = prints.groupBy("key").agg(F.min("uid").alias("head"))
-    alike = prints.join(heads, "key").select(F.col("head").alias("a"), F.col("uid").alias("b"))
-    shifts = F.array(*[F.lit(m) for m in masks(TABLE_BITS, TABLE_RADIUS // 2)])
-    spread = heads.select("head", F.explode(shifts).alias("mask"), "key").select("head", F.col("key").bitwiseXOR(F.col("mask")).alias("variant"))
-    order = Window.partitionBy("variant").orderBy("head")
-    chain = spread.select(F.first("head").over(order).alias("first"), F.lag("head").over(order).alias("prev"), "head").where("prev IS NOT NULL")
-    met = chain.select(F.explode(F.array("first", "prev")).alias("a"), F.col("head").alias("b"))
-    pairs = alike.union(met).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    a, b = sketches.toDF("a", "size_a", "tables_a"), sketches.toDF("b", "size_b", "tables_b")
-    pairs = pairs.join(a, "a").join(b, "b").where(F.least("size_a", "size_b") >= SIMILAR * F.greatest("size_a", "size_b"))
-    far = F.aggregate(F.zip_with("tables_a", "tables_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return pairs.where(far <= FAR_BITS)
+    share = max(1, min(32, rows.count() // SAMPLED))
+    picked = rows.where(F.pmod(F.xxhash64("uid"), F.lit(share)) == 0)
+    held = picked.mapInArrow(_shingle_sets, "uid bigint, words array<bigint>").select(F.explode("words").alias("w")).groupBy("w").count().where("count > 2")
+    most = held.orderBy(F.desc("count"), "w").limit(COMMON).collect()
+    return np.array([r.w for r in reversed(most)], np.int64).view(np.uint64)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(uid, component) of documents with a near duplicate; uid is row_key() of (doc_id, text)."""
-    rows = id_text(docs).select(row_key().alias("uid"), F.col("text").cast("binary").alias("text"))
-    sketches = materialize(rows.mapInArrow(_sketch, "uid bigint, size bigint, tables array<bigint>").dropDuplicates(["uid"]))
-    pairs = materialize(candidates(sketches).select("a", "b", "size_a", "size_b"))
+def _prefixes(shared):
+    def run(batches):
+        common = shared.value
+        order = np.argsort(common)
+        ranked = common[order]
+        for batch in (part for batch in batches for part in chunks(batch, 1)):
+            size, tokens = [], []
+            for text in batch.column(1).to_pylist():
+                h = np.unique(_hashes(set(shingles(text, SHINGLE))))
+                n = len(h)
+                if len(ranked) and n:
+                    at = np.minimum(np.searchsorted(ranked, h), len(ranked) - 1)
+                    known = ranked[at] == h
+                    h = np.concatenate([h[~known], common[np.sort(order[at[known]])]])
+                size.append(n)
+                tokens.append(h[: n // 5 + 1].view(np.int64) if n else np.zeros(1, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["uid", "size", "tokens"])
+
+    return run
+
+
+def buckets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bucket, uid, size, score): documents that share a shingle of their prefixes, as any two documents
+    of a similarity of 0.8 do; and (uid, size, score, held): the shared shingles of each prefix.
+
+    Of n shingles the first n - ceil(0.8 n) + 1 = n div 5 + 1 in an order that all documents share are the prefix.
+    Buckets of the same members are one.  score: how many documents hold the prefix's shingles on
+    average, greatest for the text that a family of copies comes from.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(common_shingles(rows))
+    index = rows.mapInArrow(_prefixes(shared), "uid bigint, size bigint, tokens array<bigint>").select(F.explode("tokens").alias("bucket"), "uid", "size")
+    of = Window.partitionBy("bucket")
+    members = [F.count(F.lit(1)).over(of).alias("n"), F.bit_xor(F.xxhash64("uid")).over(of).alias("x"), F.bit_xor(F.xxhash64("uid", F.lit(1))).over(of).alias("y")]
+    index = index.repartition("bucket").dropDuplicates(["bucket", "uid", "size"]).select("bucket", "uid", "size", *members)
+    index = materialize(index.where("n > 1"))
+    score = F.sum("n") / F.expr("first(size) div 5 + 1")
+    held = materialize(index.groupBy("uid").agg(F.first("size").alias("size"), score.alias("score"), F.collect_list("bucket").alias("held")))
+    one = index.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
+    found = materialize(index.select("bucket", "uid", "size").join(one, "bucket", "left_semi").join(held.select("uid", "score"), "uid"))
+    forget(index)
+    return found, held
+
+
+def verified(rows: DataFrame, held: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose five-word shingles have a Jaccard similarity of 0.8 or more, materialized.
+
+    Of two prefixes the one that ends first holds no shared shingle that the other lacks, so two texts
+    share at most what the prefixes share and the rest of one text.  Only pairs for which that can do
+    have their texts fetched.
+    """
+    near = pairs.join(held.select(F.col("uid").alias("a"), F.col("size").alias("size_a"), F.col("held").alias("held_a")), "a")
+    near = near.join(held.select(F.col("uid").alias("b"), F.col("size").alias("size_b"), F.col("held").alias("held_b")), "b")
+    most = F.size(F.array_intersect("held_a", "held_b")) + F.expr("greatest(size_a - size_a div 5, size_b - size_b div 5) - 1")
+    pairs = materialize(near.where(9 * most >= 4 * (F.col("size_a") + F.col("size_b"))).select("a", "b"))
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct())
     sets = materialize(rows.join(checked(wanted), "uid", "left_semi").mapInArrow(_shingle_sets, "uid bigint, words array<bigint>").dropDuplicates(["uid"]))
     both = pairs.join(sets.toDF("a", "words_a"), "a").join(sets.toDF("b", "words_b"), "b")
     shared = F.size(F.array_intersect("words_a", "words_b"))
-    union = F.col("size_a") + F.col("size_b") - shared
-    return components(both.where(shared >= SIMILAR * union).select("a", "b")).withColumnRenamed("id", "uid")
+    union = F.size("words_a") + F.size("words_b") - shared
+    found = materialize(both.where(5 * shared >= 4 * union).select("a", "b"))
+    for done in (pairs, wanted, sets):
+        forget(done)
+    return found
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(uid, component) of documents with a near duplicate; uid is row_key() of (doc_id, text).
+
+    Components are those of all pairs of a similarity of 0.8.  In each bucket the member of the greatest
+    score meets all that are not yet linked to it, and leaves; after HEADS rounds the rest meet in pairs.
+    Buckets within one component are done, so a large group of copies costs its size, not its square.
+    """
+    rows = id_text(docs).select(row_key().alias("uid"), F.col("text").cast("binary").alias("text"))
+    left, held = buckets(rows)
+    left = left.withColumn("component", F.col("uid"))
+    edges = labels = None
+    for turn in range(HEADS + 1):
+        if turn < HEADS:
+            heads = left.groupBy("bucket").agg(F.max(F.struct("score", "uid", "size", "component")).alias("h"))
+            heads = heads.select("bucket", F.col("h.uid").alias("head"), F.col("h.size").alias("head_size"), F.col("h.component").alias("head_component"))
+        else:
+            heads = left.select("bucket", F.col("uid").alias("head"), F.col("size").alias("head_size"), F.col("component").alias("head_component"))
+        met = left.join(heads, "bucket").where("uid <> head AND component <> head_component AND 5 * least(size, head_size) >= 4 * greatest(size, head_size)")
+        pairs = materialize(met.select(F.least("uid", "head").alias("a"), F.greatest("uid", "head").alias("b")).distinct())
+        found = verified(rows, held, pairs)
+        edges = found if edges is None else edges.unionByName(found)
+        labels = components(edges)
+        if turn < HEADS:
+            left = left.join(heads.select("bucket", F.col("head").alias("uid")), ["bucket", "uid"], "left_anti").drop("component")
+            left = left.join(labels.select(F.col("id").alias("uid"), "component"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+            mixed = left.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+            left = materialize(left.join(mixed, "bucket", "left_semi"))
+            if not left.limit(1).count():
+                break
+    return labels.withColumnRenamed("id", "uid")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -183,6 +183,28 @@ def test_keep_one(docs, empty, plain):
     assert simhash.keep_one(empty).count() == 0
 
 
+def jaccard_components(texts):
+    sets = [set(simhash.shingles(t.encode(), 5)) for t in texts]
+    of = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if of[a] != of[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                of = [of[b] if x == of[a] else x for x in of]
+    return len(set(of))
+
+
+@pytest.mark.parametrize("base_too", [True, False])
+def test_keep_one_family(spark, base_too):
+    """Copies within 0.8 of their base and mostly not of each other, with and without the base."""
+    rnd = random.Random(8)
+    base = [f"w{rnd.randrange(3000)}" for _ in range(300)]
+    family = [" ".join(base)] * base_too + [" ".join(f"x{rnd.randrange(10**6)}" if rnd.random() < 0.02 else w for w in base) for _ in range(300)]
+    family += [" ".join(f"z{rnd.randrange(3000)}" for _ in range(200)) for _ in range(20)]
+    rnd.shuffle(family)
+    left = simhash.keep_one(spark.createDataFrame(list(enumerate(family)), "doc_id bigint, text string")).count()
+    assert left == jaccard_components(family)
+
+
 def test_suffix_dedup(docs, empty, plain, monkeypatch):
     count = collections.Counter(t.encode()[s : s + 200] for _, t in plain for s in range(len(t.encode()) - 199))
     expected = collections.Counter()
