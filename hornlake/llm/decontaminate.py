@@ -1,11 +1,14 @@
 r"""Benchmark decontamination by template canonicalisation.
 
 Text becomes typed words: numbers <num>, words that are capitalised inside a
-sentence <name>, and a unit after a number <unit>.  Windows of WINDOW typed words of the benchmark form an index that is broadcast when its
+sentence <name>, and a unit after a number <unit>.  A word is typed where it stands, in items and documents alike; at
+the beginning of a sentence it is a name if it is one elsewhere in the text and never in lower case.  Windows of WINDOW typed words of the benchmark form an index that is broadcast when its
 size is within BLOCK_WINDOWS, and otherwise in blocks of that many, each against all documents.  A
 document is contaminated by an item if, within a stretch of the item's length and a half, it holds at
 least COVER of the item's distinct windows, most of the matched words are literal, and slots are consistent:
 one value in the item stands for one value in the document wherever it occurs.
+Windows of plain words are matched too, and covered by them an item is contaminated without more
+conditions, so no copy is lost by the typing of its words.
 
 Defined cases: null text matches nothing; items with fewer than WINDOW words are one shorter window and
 match that exact sequence; empty items match nothing; repeated rows are decided alike; item ids may be null.
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from itertools import compress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +36,7 @@ STOPS = frozenset(".!?:;\n|")
 
 def typed(text: str) -> tuple[list[str], list[str]]:
     """(typed words, plain words) of a text; literal words are lower-case."""
-    kinds, plain, last = [], [], "."
+    kinds, plain, starts, lower, last = [], [], [], set(), "."
     for token in TOKEN.findall(text):
         if token in STOPS:
             last = token
@@ -46,11 +50,17 @@ def typed(text: str) -> tuple[list[str], list[str]]:
             kind = "<name>"
         else:
             kind = low
+            if token == low:
+                lower.add(low)
+            elif last in STOPS and token[1:] == low[1:]:
+                starts.append(len(kinds))
         kinds.append(kind), plain.append(low)
         last = kind
-    names = {p for k, p in zip(kinds, plain, strict=True) if k == "<name>"}
-    if names:  # they are names at the beginning of a sentence too
-        kinds = ["<name>" if p in names else k for k, p in zip(kinds, plain, strict=True)]
+    if starts:
+        names = {p for k, p in zip(kinds, plain, strict=True) if k == "<name>"} - lower
+        for at in starts:
+            if plain[at] in names:
+                kinds[at] = "<name>"
     return kinds, plain
 
 
@@ -61,45 +71,51 @@ def windows(kinds: list[str]) -> list[tuple[str, ...]]:
 
 
 class Index:
-    """Benchmark items by the windows of their templates."""
+    """Benchmark items by the windows of their templates and of their plain words."""
 
     def __init__(self, items: list[tuple[int | None, str]]):
         self.items = [(i, *typed(t)) for i, t in items]
-        self.places: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
-        self.distinct = []
-        for n, (_, kinds, _) in enumerate(self.items):
-            found = windows(kinds)
-            self.distinct.append(len(set(found)))
-            for at, w in enumerate(found):
-                self.places[w].append((n, at))
-        self.places = dict(self.places)
+        self.places = self.placed(1), self.placed(2)
+        self.distinct = [tuple(len(set(windows(words))) for words in item[1:]) for item in self.items]
         self.short = any(len(k) < WINDOW for _, k, _ in self.items)
 
-    def matches(self, text: str) -> list[tuple[int | None, float, bool]]:
-        """(item id, share of its windows found, verbatim) of each item that contaminates the text."""
-        kinds, plain = typed(text)
-        hits, places = defaultdict(list), self.places
-        for at, w in enumerate(windows(kinds)):
-            if w in places:
-                for n, there in places[w]:
-                    hits[n].append((at, there))
+    def placed(self, form: int) -> dict[tuple, list[tuple[int, int]]]:
+        places = defaultdict(list)
+        for n, item in enumerate(self.items):
+            for at, w in enumerate(windows(item[form])):
+                places[w].append((n, at))
+        return dict(places)
+
+    def hits(self, places, words: list[str]) -> dict[int, list[tuple[int, int]]]:
+        """Per item the places (in the text, in the item) of its windows."""
+        hits, all_windows = defaultdict(list), windows(words)
+        for at in compress(range(len(all_windows)), map(places.__contains__, all_windows)):
+            for n, there in places[all_windows[at]]:
+                hits[n].append((at, there))
         if self.short:
             for size in range(1, WINDOW):
-                for at, w in enumerate(zip(*[kinds[i:] for i in range(size)])):
-                    if len(kinds) >= WINDOW or size < len(kinds):
+                for at, w in enumerate(zip(*[words[i:] for i in range(size)])):
+                    if len(words) >= WINDOW or size < len(words):
                         for n, there in places.get(w, ()):
                             hits[n].append((at, there))
-        found = []
-        for n, pairs in hits.items():
-            need = COVER * self.distinct[n]
-            if len({p for _, p in pairs}) >= need and (best := self.stretch(n, pairs, need, kinds, plain)):
-                found.append(best)
-        return found
-
-    def stretch(self, n, pairs, need, kinds, plain):
+        return hits
+
+    def matches(self, text: str) -> list[tuple[int | None, float, bool]]:
+        """(item id, share of its windows found, verbatim) of each item that contaminates the text."""
+        kinds, plain = typed(text)
+        found = {}
+        for form, words in enumerate((kinds, plain)):
+            for n, pairs in self.hits(self.places[form], words).items():
+                need = COVER * self.distinct[n][form]
+                if len({p for _, p in pairs}) >= need and (best := self.stretch(n, pairs, need, form, kinds, plain)):
+                    other = found.get(n, best)
+                    found[n] = best[0], max(best[1], other[1]), best[2] or other[2]
+        return list(found.values())
+
+    def stretch(self, n, pairs, need, form, kinds, plain):
         item, mine, words = self.items[n]
         reach, pairs = len(mine) * 3 // 2 + WINDOW, sorted(pairs)
-        key = windows(mine)
+        key = windows(words if form else mine)
         counts, distinct, low = defaultdict(int), 0, 0
         for high, (at, there) in enumerate(pairs):
             counts[key[there]] += 1
@@ -109,8 +125,8 @@ class Index:
                 counts[gone] -= 1
                 distinct -= counts[gone] == 0
                 low += 1
-            if distinct >= need and (seen := self.consistent(pairs[low : high + 1], mine, words, kinds, plain)):
-                return item, distinct / self.distinct[n], seen == "verbatim"
+            if distinct >= need and (seen := "verbatim" if form else self.consistent(pairs[low : high + 1], mine, words, kinds, plain)):
+                return item, distinct / self.distinct[n][form], seen == "verbatim"
         return None
 
     @staticmethod

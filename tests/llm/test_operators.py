@@ -262,6 +262,20 @@ def test_decontaminate(spark, docs, empty):
     assert [m for m in decontaminate.Index([(1, item)]).matches(mixed) if m[2]] == []
 
 
+def test_decontaminate_typing():
+    """A copy pasted inside a sentence, in a long text whose headings capitalise its words."""
+    item = "The river is wide and the old bridge is long, et the men of the town walk over it when the sun is low"
+    heading = "Notes On The River And The Old Bridge Is It Wide Et Long When Men Walk Over Town Sun Low Of"
+    index = decontaminate.Index([(1, item)])
+    filler = " ".join(f"other{chr(97 + n % 26)} words{chr(97 + n // 26)}" for n in range(500))
+    for text in (f"as they said {item} and so on", f"{heading}. {filler} as they said {item} {filler}", item.title()):
+        assert [(m[0], m[2]) for m in index.matches(text)] == [(1, True)]
+    changed = "Anna sees the wide river and the old bridge of the town before Bob walks over it when the sun is low"
+    long = f"{heading}. {filler}. " + changed.replace("Anna", "Carla").replace("Bob", "Mike")
+    assert [m[0] for m in decontaminate.Index([(1, "In time " + changed)]).matches(long.replace("Carla", "In time Carla"))] == [1]
+    assert index.matches(f"{heading}. {filler}") == []
+
+
 def test_toxicity(spark, empty):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
