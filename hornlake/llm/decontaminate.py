@@ -17,7 +17,7 @@ match that exact sequence; empty items match nothing; repeated rows are decided
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import compress
 
 import pyarrow as pa
@@ -131,8 +131,17 @@ class Index:
 
     @staticmethod
     def consistent(pairs, mine, words, kinds, plain):
-        """"verbatim", "template" or None by the words that the windows align."""
+        """"verbatim", "template" or None by the words that the windows align.
+
+        A window that the item holds twice also meets its other place: of an item's place only the hit
+        of the most frequent offset counts.
+        """
         width = min(WINDOW, len(mine))
+        offsets = Counter(at - there for at, there in pairs)
+        chosen: dict[int, tuple] = {}
+        for at, there in pairs:
+            chosen[there] = max(chosen.get(there, (0, 0)), (offsets[at - there], -at))
+        pairs = [(-at, there) for there, (_, at) in chosen.items()]
         aligned = {(there + k, at + k) for at, there in pairs for k in range(width)}
         slots, literal = defaultdict(lambda: defaultdict(int)), 0
         for i, j in aligned:

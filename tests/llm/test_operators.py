@@ -276,6 +276,18 @@ def test_decontaminate_typing():
     assert index.matches(f"{heading}. {filler}") == []
 
 
+def test_decontaminate_problems():
+    """Items of numbers and names mostly, and items that repeat their own windows."""
+    sums = "7 + 5 = 12 and 8 + 6 = 14"
+    apples = "John has 3 apples and Mary has 5 apples and Tom has 7 apples"
+    index = decontaminate.Index([(1, sums), (2, apples)])
+    for n, item in ((1, sums), (2, apples)):
+        assert [(m[0], m[2]) for m in index.matches(f"see this. {item}. And so on")] == [(n, True)]
+    other = "so Anna has 4 apples and Carla has 6 apples and Mike has 9 apples"
+    assert [(m[0], m[2]) for m in index.matches(other)] == [(2, False)]
+    assert index.matches("9 + 1 = 10 and 2 + 2 = 4") == []
+
+
 def test_toxicity(spark, empty):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
