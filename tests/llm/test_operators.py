@@ -205,6 +205,26 @@ def test_keep_one_family(spark, base_too):
     assert left == jaccard_components(family)
 
 
+def test_keep_one_recall(spark):
+    """Every pair at 0.8 to 0.9 is found: text appended, text trimmed, words replaced."""
+    rnd = random.Random(9)
+    word = lambda: f"w{rnd.randrange(5000)}"
+    kinds, rows = ("appended", "trimmed", "scattered"), []
+    for kind in kinds:
+        for n in range(200):
+            while True:
+                base = [word() for _ in range(300)]
+                k = rnd.randint(30, 75)
+                other = {"appended": base + [word() for _ in range(k)], "trimmed": base[: 300 - k * 4 // 5], "scattered": [word() if rnd.random() < 0.02 else w for w in base]}[kind]
+                a, b = (set(simhash.shingles(" ".join(t).encode(), 5)) for t in (base, other))
+                if 4 * len(a | b) <= 5 * len(a & b) and 10 * len(a & b) <= 9 * len(a | b):
+                    break
+            rows += [(kind, " ".join(base)), (kind, " ".join(other))]
+    docs = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(rows)], "doc_id bigint, text string, kind string")
+    left = collections.Counter(r.kind for r in simhash.keep_one(docs).select("kind").collect())
+    assert left == dict.fromkeys(kinds, 200)
+
+
 def test_suffix_dedup(docs, empty, plain, monkeypatch):
     count = collections.Counter(t.encode()[s : s + 200] for _, t in plain for s in range(len(t.encode()) - 199))
     expected = collections.Counter()
