@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +38,10 @@ def _cut(tokens: int):
         for batch in batches:
             for part in chunks(batch, 1):
                 doc, number, start, length, crc = [], [], [], [], []
-                texts = part.column(1).to_pylist()
-                split = [words.split(t) for t in texts]
-                known = words.learn(set().union(*(s for s in split if s)))
-                for d, t, s in zip(part.column(0).to_pylist(), texts, split, strict=True):
-                    ids = array("I", words.whole(t)).tobytes() if s is None else b"".join(map(known.__getitem__, s))
-                    ids += b"\0\0\0\0"
+                split = [words.split(t) for t in part.column(1).to_pylist()]
+                known = words.learn(set().union(*split))
+                for d, s in zip(part.column(0).to_pylist(), split, strict=True):
+                    ids = b"".join(map(known.__getitem__, s)) + b"\0\0\0\0"
                     for i, at in enumerate(range(0, len(ids), 4 * tokens)):
                         piece = ids[at : at + 4 * tokens]
                         doc.append(d), number.append(i), start.append(at // 4), length.append(len(piece) // 4), crc.append(zlib.crc32(piece))

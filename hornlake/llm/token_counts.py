@@ -2,12 +2,12 @@
 document's pre-token frequencies.
 
 1. Pre-tokens are counted per task and summed: a table of distinct pre-tokens, frequencies and pieces.
-2. The most frequent short ones, at most HEAD_WORDS of at most HEAD_CHARS characters, are broadcast:
-   those of a frequency of 2^p and more for the least p that keeps the bound.
+2. The most frequent ones, at most HEAD_WORDS of at most HEAD_CHARS characters and LONG_WORDS of up to
+   LONG_CHARS, are broadcast: those of a frequency of 2^p and more for the least p that keeps the bound.
 3. One pass over the texts sums the head's pieces in place and emits (document, pre-token, frequency)
    only for the rest, which joins the table by shuffle and is summed per document.
 
-Texts that only the library may split (see pretokens) are counted by it in the same pass.
+Any text goes this way, whatever its script (see pretokens).
 Defined cases: null or empty text has no tokens; null ids are kept; repeated rows are all returned.
 """
 
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import chunks, id_text, materialize, row_key
 
 HEAD_WORDS, HEAD_CHARS = 1 << 17, 24
+LONG_WORDS, LONG_CHARS = 1 << 12, 500
 FLUSH_WORDS = 200_000
 
 
@@ -33,7 +34,7 @@ def _frequencies(batches):
     for batch in batches:
         for part in chunks(batch, 0):
             for text in part.column(0).to_pylist():
-                counts.update(words.split(text) or ())
+                counts.update(words.split(text))
             if len(counts) > FLUSH_WORDS:
                 yield out(counts)
                 counts = Counter()
@@ -43,10 +44,11 @@ def _frequencies(batches):
 def _pieces(batches):
     from .pretokens import word_ids
 
-    library = word_ids().library
+    words = word_ids()
     for batch in batches:
-        found = library.encode_batch_fast(batch.column(0).to_pylist(), add_special_tokens=False)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(e.ids) for e in found], pa.int64())], ["word", "n", "pieces"])
+        distinct = batch.column(0).to_pylist()
+        known = words.learn(set(distinct))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(known[w]) // 4 for w in distinct], pa.int64())], ["word", "n", "pieces"])
 
 
 def _counter(head_of):
@@ -58,9 +60,8 @@ def _counter(head_of):
         for part in (part for batch in batches for part in chunks(batch, 2)):
             uid, doc, size, base, tail, freq = [], [], [], [], [], []
             for u, d, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                split = words.split(text)
-                total, rest = (len(words.whole(text)), {}) if split is None else (0, {})
-                for w, n in Counter(split or ()).items():
+                total, rest = 0, {}
+                for w, n in Counter(words.split(text)).items():
                     if (k := get(w)) is None:
                         rest[w] = n
                     else:
@@ -71,20 +72,25 @@ def _counter(head_of):
     return run
 
 
+def frequent(pieces: DataFrame, above: int, upto: int, most: int) -> dict[str, int]:
+    """Pieces of at most `most` words of more than `above` and at most `upto` characters: those of a frequency of 2^p for the least p that allows it."""
+    ranked = pieces.where(F.length("word").between(above + 1, upto)).withColumn("power", F.floor(F.log2("n")))
+    least, held = 63, 0
+    for r in sorted(ranked.groupBy("power").count().collect(), reverse=True):  # at most 64 rows
+        held += r["count"]
+        if held > most:
+            break
+        least = r.power
+    return {r.word: r.pieces for r in ranked.where(F.col("power") >= least).select("word", "pieces").collect()}
+
+
 def token_counts(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) per document."""
     spark = docs.sparkSession
     rows = id_text(docs).withColumn("uid", row_key())
     summed = rows.select("text").mapInArrow(_frequencies, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     pieces = materialize(summed.mapInArrow(_pieces, "word string, n bigint, pieces bigint"))
-    short = pieces.where(F.length("word") <= HEAD_CHARS).withColumn("power", F.floor(F.log2("n")))
-    least, held = 63, 0
-    for r in sorted(short.groupBy("power").count().collect(), reverse=True):  # at most 64 rows
-        held += r["count"]
-        if held > HEAD_WORDS:
-            break
-        least = r.power
-    head = spark.sparkContext.broadcast({r.word: r.pieces for r in short.where(F.col("power") >= least).select("word", "pieces").collect()})
+    head = spark.sparkContext.broadcast(frequent(pieces, 0, HEAD_CHARS, HEAD_WORDS) | frequent(pieces, HEAD_CHARS, LONG_CHARS, LONG_WORDS))
     schema = "uid bigint, doc_id bigint, n_bytes bigint, base bigint, words array<string>, ns array<bigint>"
     counted = rows.select("uid", "doc_id", "text").mapInArrow(_counter(head), schema)
     # One row for the document itself (its word is unique to it and joins nothing), one per other pre-token.
