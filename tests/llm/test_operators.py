@@ -99,12 +99,12 @@ def test_secret_scan(docs, empty, plain):
 
 
 def test_token_counts_and_pieces(docs, empty, plain):
-    library = pretokens.WordIds()
-    assert bag(token_counts.token_counts(docs).collect()) == bag((i, len(t.encode()), len(library.whole(t))) for i, t in plain)
+    library = pretokens.WordIds().library
+    assert bag(token_counts.token_counts(docs).collect()) == bag((i, len(t.encode()), len(library.encode(t, add_special_tokens=False).ids)) for i, t in plain)
     assert token_counts.token_counts(empty).count() == 0
     expected = collections.Counter()
     for i, t in plain:
-        ids = library.whole(t) + [0]
+        ids = library.encode(t, add_special_tokens=False).ids + [0]
         for n, at in enumerate(range(0, len(ids), 512)):
             part = ids[at : at + 512]
             expected[i, n, at, len(part), zlib.crc32(struct.pack(f"<{len(part)}I", *part))] += 1
