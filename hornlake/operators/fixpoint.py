@@ -1,28 +1,33 @@
 """Evaluation of a program: groups of predicates in order, recursive ones to their fixpoint.
 
 A round joins only what the last round added (the delta) with all that is known, drops what is known
-by an anti join, and writes the rest to the shared folder, so lineage stays short and a lost executor
-costs one round.  A closure r(X,Y) :- r(X,Z), e(Z,Y) over r(X,Y) :- e(X,Y) is evaluated by doubling,
-in logarithmically many rounds.
+by an anti join, and holds the rest in the shared folder (small rounds in memory), so lineage stays
+short and a lost executor costs one round.  Predicates that are closures by their rules are evaluated
+by contraction and powers, see closure.
 """
 
 from __future__ import annotations
 
 import time
+import uuid
+from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.analysis import check_rule, needed, strata
 from ..plans.language import Atom, ProgramError, Query, Rule, Var, parse, variables
 from ..sources.config import check_types
 from ..sources.database import Database, Relation, from_frame, from_tuples, joint_kinds, union
-from ..sources.storage import materialize
+from ..sources.storage import SMALL_ROWS, hold
+from .closure import closure
 from .rules import Functions, derive
 
 MAX_ROUNDS = 10_000
 COMPACT_ROUNDS = 8
+BROADCAST_ROWS = 200_000
 
 
 @dataclass
@@ -36,20 +41,67 @@ class Stratum:
     seconds: float
 
 
-def closure_rule(rule: Rule, rules: list[Rule]) -> Rule:
-    """The doubling form of a transitive closure's recursive rule, else the rule."""
-    name, same = rule.head.name, [r for r in rules if r.head.name == rule.head.name]
-    if len(same) != 2 or len(rule.body) != 2 or len(rule.head.terms) != 2 or not all(isinstance(b, Atom) and len(b.terms) == 2 and not b.negated for b in rule.body):
-        return rule
-    base = next((r for r in same if r is not rule), None)
-    if base is None or base.aggregate or len(base.body) != 1 or not isinstance(base.body[0], Atom) or base.body[0].terms != base.head.terms or base.body[0].negated:
-        return rule
-    (x, y), (first, second), edge = rule.head.terms, rule.body, base.body[0].name
-    named = all(isinstance(t, Var) for t in (x, y, *first.terms, *second.terms, *base.head.terms)) and base.head.terms[0] != base.head.terms[1]
-    chain = named and first.terms[0] == x and first.terms[1] == second.terms[0] and second.terms[1] == y and len({x, y, first.terms[1]}) == 3
-    if chain and {first.name, second.name} == {name, edge} and edge != name:
-        return Rule(rule.head, (Atom(name, first.terms), Atom(name, second.terms)))
-    return rule
+def closure_base(name: str, loops: list[Rule], seeds: list[Rule], loaded: bool) -> bool:
+    """True if the recursive rules make the predicate the transitive closure of what it has without them.
+
+    r(X,Y) :- r(X,Z), r(Z,Y) always does.  With one edge atom in the place of an r, that holds only
+    where r(X,Y) :- e(X,Y) is all that r has; loaded: it has facts besides its rules.
+    """
+    if len(loops) != 1 or loops[0].aggregate or len(loops[0].body) != 2 or not all(isinstance(b, Atom) and not b.negated and len(b.terms) == 2 for b in loops[0].body):
+        return False
+    head, (first, second) = loops[0].head, loops[0].body
+    if len(head.terms) != 2 or not all(isinstance(t, Var) for t in (*head.terms, *first.terms, *second.terms)):
+        return False
+    for left, right in ((first, second), (second, first)):
+        if left.terms[0] == head.terms[0] and left.terms[1] == right.terms[0] and right.terms[1] == head.terms[1] and len({*head.terms, left.terms[1]}) == 3:
+            break
+    else:
+        return False
+    if first.name == second.name == name:
+        return True
+    edge = first.name if second.name == name else second.name
+    if loaded or len(seeds) != 1 or seeds[0].aggregate or len(seeds[0].body) != 1 or not isinstance(seeds[0].body[0], Atom):
+        return False
+    base = seeds[0].body[0]
+    return base.name == edge != name and not base.negated and base.terms == seeds[0].head.terms and len(set(base.terms)) == 2 and all(isinstance(t, Var) for t in base.terms)
+
+
+class Cancelled(ProgramError):
+    """The evaluation was cancelled."""
+
+
+class FactLimitError(ProgramError):
+    """More facts were derived than allowed."""
+
+
+class Cancel:
+    """Cancels evaluations that were given it: their Spark jobs are interrupted, and no round begins."""
+
+    def __init__(self):
+        self.tag, self.spark, self.asked = f"hornlake-{uuid.uuid4().hex}", None, False
+
+    def cancel(self) -> None:
+        self.asked = True
+        if self.spark is not None:
+            self.spark.sparkContext.cancelJobsWithTag(self.tag)
+
+    @contextmanager
+    def watch(self, spark):
+        self.spark = spark
+        spark.sparkContext.addJobTag(self.tag)
+        try:
+            self.check()
+            yield
+        except Exception as e:
+            if self.asked and not isinstance(e, Cancelled):
+                raise Cancelled("the evaluation was cancelled") from e
+            raise
+        finally:
+            spark.sparkContext.removeJobTag(self.tag)
+
+    def check(self) -> None:
+        if self.asked:
+            raise Cancelled("the evaluation was cancelled")
 
 
 class Program:
@@ -60,7 +112,8 @@ class Program:
     occurrence has neither a constant nor a variable that an atom over loaded relations binds.
     declarations: constants and arities of rules are checked against them.
     trace: keep what each round of a recursive group added, in `rounds`, for provenance.Explainer; rules are
-    then evaluated as they stand, without doubling.
+    then evaluated as they stand, closures too.
+    fact_limit: how many facts one transform may derive, in all groups; base and inline facts do not count.
     """
 
     def __init__(self, text: str, functions: Functions | None = None, max_rounds: int = MAX_ROUNDS, fact_limit: int | None = None, externals: dict | None = None, declarations: list[dict] | None = None, trace: bool = False):
@@ -71,6 +124,7 @@ class Program:
         self.rules = [s for s in statements if isinstance(s, Rule)]
         self.queries = [s for s in statements if isinstance(s, Query)]
         self.max_rounds, self.fact_limit, self.profile = max_rounds, fact_limit, []
+        self.derived, self.cancel = 0, None
         for r in self.rules:
             check_rule(r, self.functions.arities(), self.functions.outputs())
         check_types(self.rules, declarations or [])
@@ -80,21 +134,33 @@ class Program:
         """The predicates that are evaluated together with one."""
         return next((g for g in self.order if name in g), [])
 
-    def transform(self, db: Database, goals: set[str] | None = None) -> Database:
+    def transform(self, db: Database, goals: set[str] | None = None, cancel: Cancel | None = None) -> Database:
         """db with the derived relations, of the goals' rules only if goals are given."""
         rules = needed(self.rules, goals) if goals else self.rules
-        self.profile, self.rounds = [], {}
-        for key, fetch in self.externals.items():
-            if fetched := self._external(db, key, fetch, rules):
-                db = db.extend({key: fetched})
-        for group in self.order:
-            own = [r for r in rules if r.head.name in group]
-            if own:
-                began = time.time()
-                db, rounds, facts = self._group(db, group, own)
-                self.profile.append(Stratum(group, len(own), rounds, facts, time.time() - began))
+        self.profile, self.rounds, self.derived, self.cancel = [], {}, 0, cancel
+        with cancel.watch(db.spark) if cancel else nullcontext():
+            for key, fetch in self.externals.items():
+                if fetched := self._external(db, key, fetch, rules):
+                    db = db.extend({key: fetched})
+            for group in self.order:
+                own = [r for r in rules if r.head.name in group]
+                if own:
+                    began = time.time()
+                    db, rounds, facts = self._group(db, group, own)
+                    self.profile.append(Stratum(group, len(own), rounds, facts, time.time() - began))
         return db
 
+    def _bounded(self, df: DataFrame, expected: int | None = None) -> tuple[DataFrame, int]:
+        """The rows and their number, or FactLimitError if they pass the limit; no more than one above it are made."""
+        if self.cancel:
+            self.cancel.check()
+        left = None if self.fact_limit is None else max(0, self.fact_limit - self.derived)
+        kept, n = hold(df if left is None else df.limit(left + 1), expected)
+        if left is not None and n > left:
+            raise FactLimitError(f"more than {self.fact_limit} facts derived")
+        self.derived += n
+        return kept, n
+
     def _external(self, db: Database, key: tuple[str, int], fetch, rules: list[Rule]) -> Relation | None:
         uses = [(r, b) for r in rules for b in r.body if isinstance(b, Atom) and (b.name, len(b.terms)) == key]
         if not uses:
@@ -127,28 +193,76 @@ class Program:
                 facts.setdefault((r.head.name, len(r.head.terms)), []).append(tuple(t.value for t in r.head.terms))
         if facts:
             db = db.extend({k: from_tuples(db.spark, rows) for k, rows in facts.items()})
+        keys = {(r.head.name, len(r.head.terms)) for r in rules}
+        loaded = {k for k in keys if k in db.relations}
         rules = [r for r in rules if r.body]
         loops = [r for r in rules if any(isinstance(b, Atom) and b.name in group for b in r.body)]
         parts: dict[tuple[str, int], list[Relation]] = {}
         for r in rules:
             if r not in loops and (rel := derive(r, db, self.functions)) is not None:
                 parts.setdefault((r.head.name, len(r.head.terms)), []).append(rel)
+        facts_found = -1
         for key, rels in parts.items():
-            db = db.extend({key: rels[0] if len(rels) == 1 else (lambda u: Relation(u.df.distinct(), u.kinds))(union(rels))})
+            rel = rels[0] if len(rels) == 1 else (lambda u: Relation(u.df.distinct(), u.kinds))(union(rels))
+            if self.fact_limit is not None:
+                if key in db.relations:
+                    rel = self._unknown(rel, db.relations[key])
+                kept, n = self._bounded(rel.df)
+                rel, facts_found = Relation(kept, rel.kinds), max(0, facts_found) + n
+            db = db.extend({key: rel})
         if not loops:
-            return db, 1, -1
-        return self._loop(db, group, loops if self.trace else [closure_rule(r, rules) for r in loops])
+            return db, 1, facts_found
+        if not self.trace and len(group) == 1:
+            seeds = [r for r in rules if r not in loops]
+            if len(keys) == 1 and closure_base(group[0], loops, seeds, bool(loaded)):
+                if (key := next(iter(keys))) not in db.relations:
+                    return db, 0, 0
+                if (made := self._closure(db, key)) is not None:
+                    return made
+        return self._loop(db, group, loops)
+
+    def _closure(self, db: Database, key: tuple[str, int]) -> tuple[Database, int, int] | None:
+        """The predicate replaced by its transitive closure; None if its positions are of different kinds."""
+        rel = db.relations[key]
+        if rel.kinds[0] != rel.kinds[1] or rel.kinds[0] == "float":
+            return None
+        if self.cancel:
+            self.cancel.check()
+        edges = rel.df.toDF("a", "b")
+        if not edges.where("a IS NULL OR b IS NULL").isEmpty():
+            return None
+        found = closure(edges)
+        self.derived += found.count
+        if self.fact_limit is not None and self.derived > self.fact_limit:
+            raise FactLimitError(f"more than {self.fact_limit} facts derived")
+        whole = Relation(found.rows().toDF("c0", "c1"), rel.kinds)
+        return Database(db.spark, db.relations | {key: whole}), found.rounds, found.count
+
+    @staticmethod
+    def _unknown(fresh: Relation, known: Relation, few: bool = False) -> Relation:
+        """The rows of fresh, distinct, that are not known.
+
+        few: fresh is small, so known rows are met with it before they are sent anywhere.
+        """
+        kinds = joint_kinds([fresh.kinds, known.kinds])
+        width = range(len(kinds))
+        left, right = fresh.aligned(kinds).distinct(), known.aligned(kinds).toDF(*[f"k{i}" for i in width])
+        on = reduce(lambda a, b: a & b, [F.col(f"c{i}").eqNullSafe(F.col(f"k{i}")) for i in width])
+        if few:
+            right = right.join(F.broadcast(left), on, "left_semi")
+        return Relation(left.join(right, on, "left_anti"), kinds)
 
     def _loop(self, db: Database, group: list[str], loops: list[Rule]) -> tuple[Database, int, int]:
         pieces: dict[tuple[str, int], list[Relation]] = {}
+        sizes: dict[tuple[str, int], int] = {}
         for key, rel in list(db.relations.items()):
             if key[0] in group:
-                pieces[key] = [Relation(materialize(rel.df.distinct()), rel.kinds)]
+                kept, sizes[key] = hold(rel.df.distinct())
+                pieces[key] = [Relation(kept, rel.kinds)]
         delta = {k: v[0] for k, v in pieces.items()}
         if self.trace:
             self.rounds |= {k: [(0, v)] for k, v in delta.items()}
-        total = sum(r.df.count() for r in delta.values())
-        rounds = 0
+        total, rounds, last = sum(sizes.values()), 0, max(sizes.values(), default=0)
         while True:
             db = Database(db.spark, db.relations | {k: union(v) for k, v in pieces.items()})
             found: dict[tuple[str, int], list[Relation]] = {}
@@ -157,31 +271,31 @@ class Program:
                     if isinstance(b, Atom) and not b.negated and (b.name, len(b.terms)) in delta:
                         if (rel := derive(r, db, self.functions, (i, delta[b.name, len(b.terms)]))) is not None:
                             found.setdefault((r.head.name, len(r.head.terms)), []).append(rel)
-            delta = {}
+            delta, most = {}, 0
             for key, rels in found.items():
-                fresh = union(rels)
-                known = db.relations.get(key)
-                if known is not None:
-                    kinds = joint_kinds([fresh.kinds, known.kinds])
-                    left, right = fresh.aligned(kinds).distinct(), known.aligned(kinds).toDF(*[f"k{i}" for i in range(key[1])])
-                    on = reduce(lambda a, b: a & b, [F.col(f"c{i}").eqNullSafe(F.col(f"k{i}")) for i in range(key[1])])
-                    fresh = Relation(left.join(right, on, "left_anti"), kinds)
-                else:
+                fresh, known = union(rels), db.relations.get(key)
+                if known is None:
                     fresh = Relation(fresh.df.distinct(), fresh.kinds)
-                fresh = Relation(materialize(fresh.df), fresh.kinds)
-                if n := fresh.df.count():
-                    delta[key], total = fresh, total + n
+                elif sizes[key] > SMALL_ROWS:  # so that only what was found is dealt anew, not all that is known
+                    kept, n = hold(fresh.df.distinct(), 2 * last)
+                    fresh = self._unknown(Relation(kept, fresh.kinds), known, n <= BROADCAST_ROWS)
+                else:
+                    fresh = self._unknown(fresh, known)
+                kept, n = self._bounded(fresh.df, 2 * last)
+                if n:
+                    fresh = Relation(kept, fresh.kinds)
+                    delta[key], total, most = fresh, total + n, max(most, n)
+                    sizes[key] = sizes.get(key, 0) + n
                     if self.trace:
                         self.rounds.setdefault(key, []).append((rounds + 1, fresh))
                     pieces.setdefault(key, []).append(fresh)
                     if len(pieces[key]) > COMPACT_ROUNDS:
                         whole = union(pieces[key])
-                        pieces[key] = [Relation(materialize(whole.df), whole.kinds)]
-            rounds += 1
+                        kept, _ = hold(whole.df, sizes[key])
+                        pieces[key] = [Relation(kept, whole.kinds)]
+            rounds, last = rounds + 1, most
             if not delta:
                 return Database(db.spark, db.relations | {k: union(v) for k, v in pieces.items()}), rounds, total
-            if self.fact_limit is not None and total > self.fact_limit:
-                raise ProgramError(f"more than {self.fact_limit} facts in {group}")
             if rounds >= self.max_rounds:
                 raise ProgramError(f"{group} has no fixpoint after {rounds} rounds")
 

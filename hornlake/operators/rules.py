@@ -208,14 +208,21 @@ def derive(rule: Rule, db: Database, functions: Functions, swap=None) -> Relatio
         made, kind = F.count(F.lit(1)), "integer"
     else:
         c, kind = s.value(a.term)
+        made = None
         if kind == "json":
-            number = to_json(c, kind).rlike("^-?[0-9]")
-            c, kind = F.when(number, c.try_cast("double")).otherwise(F.raise_error(F.lit(f"{a.kind} over a value that is not a number"))), "float"
-        if kind not in NUMBERS:
+            text = to_json(c, kind)
+            wrong = F.raise_error(F.lit(f"{a.kind} over a value that is not a number"))
+            text = F.when(text.rlike("^-?[0-9]"), text).otherwise(wrong.cast("string"))
+            c = text.try_cast("double")
+            if a.kind != "sum":  # the winner stays as it is; doubles decide, and digits where they are equal
+                made, kind = {"min": F.min, "max": F.max}[a.kind](F.struct(c.alias("d"), text.try_cast("decimal(38,10)").alias("e"), text.alias("text")))["text"], "json"
+            else:
+                kind = "float"
+        if kind not in NUMBERS and made is None:
             raise TypeError(f"{a.kind} needs numbers: {rule}")
         if kind == "float":
             c = F.when(F.isnan(c), F.raise_error(F.lit(f"{a.kind} over NaN")).cast("double")).otherwise(c)
-        made = {"sum": F.sum, "min": F.min, "max": F.max}[a.kind](c)
+        made = {"sum": F.sum, "min": F.min, "max": F.max}[a.kind](c) if made is None else made
     names = list(dict.fromkeys(f"v_{t.name}" for t in keys))
     grouped = s.df.groupBy(*names).agg(made.alias(f"v_{a.result.name}"), F.count(F.lit(1)).alias("_n"))
     grouped = grouped.where("_n > 0").drop("_n") if not names else grouped.drop("_n")
