@@ -1,17 +1,22 @@
 r"""Line dedup with a log-template tree of fixed depth.
 
-A line's tokens that hold a digit become <*>.  The tree's first level is the token count, the next
-DEPTH levels are the leading tokens, so a leaf holds lines of one length and one beginning.  Within a
-leaf a position's token is constant if it holds in SHARE of the leaf's documents, else it is a
-variable field; where constants cover SIMILAR of the positions, the lines that agree on that share of
-positions form one generalised template.  Templates, masked or generalised, that occur in min_docs
-documents are dropped from all of them.
+A line's tokens that hold a digit become <*>.  The tree's first level is the token count, the next are
+its first LEAD tokens; one of them may be the wildcard child, so that a line hangs below LEAD leaves, one
+for each token left out.  Which leaves a line is in depends on the line alone.
+
+A leaf holds several templates.  A token is constant at its position if lines of min_docs documents of
+the leaf have it there, counting a document once a distinct line; all other tokens are variable fields.
+Lines with the same constants, at least SIMILAR of their tokens, form a generalised template.  Templates,
+masked or generalised, that occur in min_docs documents are dropped from all of them.
 
 Only hashes of lines travel to be counted; counts are pre-aggregated per task, so a line found in a
-third of all documents costs one row per task.
+third of all documents costs one row per task, and the most frequent dropped templates (at most
+HOT_SHARE) meet the lines by broadcast.
 
 Defined cases: null text is empty; blank lines never count as templates and stay; repeated rows are
-one document; a document with no other lines becomes empty or blank.
+one document; a document with no other lines becomes empty or blank; lines of fewer than LEAST_TOKENS are
+not generalised; two fields within the first LEAD tokens are not; a value that min_docs documents of a leaf
+share is a constant, and its lines a template of their own.
 """
 
 from __future__ import annotations
@@ -19,11 +24,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize, partitions, row_key
+from .common import forget, id_text, materialize, partitions, row_key
 
-DEPTH, SHARE, SIMILAR = 3, 0.8, 0.7
-LEAF = ["leaf", "n_tokens"]
-TEMPLATE = [*LEAF, "t1", "t2"]
+LEAD, SIMILAR = 5, 0.7
+LEAST_TOKENS = 8  # of fewer, one field is too much to tell a template from sentences alike
+HOT_SHARE = 2000
+TEMPLATE = ["n_tokens", "t1", "t2"]
 
 
 def masked_line(line: Column) -> Column:
@@ -34,34 +40,43 @@ def masked_line(line: Column) -> Column:
 
 
 def parsed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, uid, line_no, n_tokens, leaf, t1, t2) of every line."""
+    """(doc_id, uid, line_no, n_tokens, t1, t2, leaves) of every line; leaves: hashes, null where there are too few tokens."""
     lines = docs.select("doc_id", "uid", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     lines = lines.select("doc_id", "uid", "line_no", masked_line(F.col("line")).alias("masked"))
     spaces = F.length("masked") - F.length(F.translate("masked", " ", ""))
     n = F.when(F.col("masked") == "", 0).otherwise(spaces + 1)
-    leaf = F.xxhash64(F.substring_index("masked", " ", DEPTH))
-    return lines.select("doc_id", "uid", "line_no", n.alias("n_tokens"), leaf.alias("leaf"), F.xxhash64("masked").alias("t1"), F.xxhash64(F.lit(1), "masked").alias("t2"))
+    lead = F.split("masked", " ", LEAD + 1)
+    leaf = lambda out: F.xxhash64("n_tokens", F.lit(out), *[F.get("lead", F.lit(i)) for i in range(LEAD) if i != out])
+    hashes = F.xxhash64("masked").alias("t1"), F.xxhash64(F.lit(1), "masked").alias("t2")
+    lines = lines.select("doc_id", "uid", "line_no", n.alias("n_tokens"), *hashes, F.when(n >= LEAST_TOKENS, lead).alias("lead"))
+    return lines.select("doc_id", "uid", "line_no", *TEMPLATE, F.when(F.col("lead").isNotNull(), F.array(*map(leaf, range(LEAD)))).alias("leaves"))
 
 
-def generalised(texts: DataFrame, known: DataFrame, per_doc: DataFrame, min_docs: int) -> DataFrame:
-    """Masked templates (TEMPLATE columns) that belong to a recurring generalised template of their leaf.
+def generalised(texts: DataFrame, weights: DataFrame, per_doc: DataFrame, min_docs: int) -> DataFrame:
+    """Masked templates (TEMPLATE columns) that belong to a generalised template of min_docs documents.
 
     texts: (uid, text), dealt by uid.  One representative line per template is read from there.
+    weights: (TEMPLATE, docs, at, leaves) per masked template; per_doc: (TEMPLATE, uid).
     """
-    weights = per_doc.groupBy(*TEMPLATE).agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("uid", "line_no")).alias("at"))
-    leaves = weights.groupBy(*LEAF).agg(F.sum("docs").alias("leaf_docs"), F.count(F.lit(1)).alias("kinds"))
-    leaves = leaves.where((F.col("leaf_docs") >= min_docs) & (F.col("kinds") > 1) & (F.col("n_tokens") > DEPTH))
-    wanted = weights.join(leaves, LEAF).select("at.uid", F.struct(F.col("at.line_no").alias("line_no"), *TEMPLATE, "docs", "leaf_docs").alias("one"))
-    wanted = wanted.groupBy("uid").agg(F.collect_list("one").alias("reps"))
+    below = weights.where("leaves IS NOT NULL").select(*TEMPLATE, "docs", "at", F.explode("leaves").alias("leaf"))
+    leaves = below.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs"), F.count(F.lit(1)).alias("kinds"), F.min("docs").alias("rarest"))
+    leaves = leaves.where((F.col("leaf_docs") >= min_docs) & (F.col("kinds") > 1) & (F.col("rarest") < min_docs))
+    held = below.join(leaves.select("leaf"), "leaf").groupBy(*TEMPLATE).agg(F.first("docs").alias("docs"), F.first("at").alias("at"), F.collect_set("leaf").alias("leaves"))
+    wanted = held.select("at.uid", F.struct(F.col("at.line_no").alias("line_no"), *TEMPLATE, "docs", "leaves").alias("one")).groupBy("uid").agg(F.collect_list("one").alias("reps"))
     found = texts.join(wanted.hint("shuffle_hash"), "uid").select(F.split("text", "\n").alias("parts"), F.explode("reps").alias("r"))
     bodies = found.select("r.*", masked_line(F.get("parts", F.col("r.line_no"))).alias("masked"))
-    fields = materialize(bodies.select(*TEMPLATE, "docs", "leaf_docs", F.posexplode(F.split("masked", " ")).alias("pos", "token")))
-    common = fields.groupBy(*LEAF, "pos", "token").agg(F.sum("docs").alias("held"), F.first("leaf_docs").alias("leaf_docs"))
-    constant = common.where(F.col("held") >= SHARE * F.col("leaf_docs")).select(*LEAF, "pos", "token")
-    alike = fields.join(constant, [*LEAF, "pos", "token"]).groupBy(*TEMPLATE).agg(F.count(F.lit(1)).alias("same"))
-    members = alike.where(F.col("same") >= SIMILAR * F.col("n_tokens")).select(*TEMPLATE)
-    spread = per_doc.join(members, TEMPLATE).select(*LEAF, "uid").distinct().groupBy(*LEAF).count().where(F.col("count") >= min_docs)
-    return members.join(spread.select(*LEAF), LEAF, "left_semi")
+    words = bodies.select(*TEMPLATE, "docs", F.explode("leaves").alias("leaf"), F.split("masked", " ").alias("words"))
+    fields = materialize(words.select(*TEMPLATE, "docs", "leaf", F.posexplode("words").alias("pos", "token")).select(*TEMPLATE, "docs", "leaf", F.xxhash64("pos", "token").alias("field")))
+    constant = fields.groupBy("leaf", "field").agg(F.sum("docs").alias("held")).where(F.col("held") >= min_docs).select("leaf", "field")
+    kinds = fields.join(constant, ["leaf", "field"]).groupBy("leaf", *TEMPLATE).agg(F.first("docs").alias("docs"), F.count(F.lit(1)).alias("same"), F.bit_xor("field").alias("constants"))
+    kinds = materialize(kinds.where(F.col("same") >= SIMILAR * F.col("n_tokens")).drop("same"))
+    groups = kinds.groupBy("leaf", "constants").agg(F.max("docs").alias("most"), F.sum("docs").alias("all")).where((F.col("all") >= min_docs))
+    rare = materialize(kinds.where(F.col("docs") < min_docs).join(groups, ["leaf", "constants"]))
+    sure = rare.where(F.col("most") >= min_docs)
+    # Each of these templates is in fewer than min_docs documents, so no key is hot here.
+    spread = per_doc.join(rare.where(F.col("most") < min_docs).select(*TEMPLATE, "leaf", "constants"), TEMPLATE)
+    spread = spread.groupBy("leaf", "constants").agg(F.count_distinct("uid").alias("n")).where(F.col("n") >= min_docs).select("leaf", "constants")
+    return sure.select(*TEMPLATE).unionByName(rare.join(spread, ["leaf", "constants"], "left_semi").select(*TEMPLATE)).distinct()
 
 
 def line_dedup(docs: DataFrame, min_docs: int = 3) -> DataFrame:
@@ -69,11 +84,20 @@ def line_dedup(docs: DataFrame, min_docs: int = 3) -> DataFrame:
     rows = id_text(docs).withColumn("uid", row_key())
     texts = rows.select("uid", "text").repartition(partitions(docs.sparkSession), "uid")
     known = materialize(parsed_lines(rows))
-    per_doc = materialize(known.where("n_tokens > 0").groupBy(*TEMPLATE, "uid").agg(F.min("line_no").alias("line_no")))
-    recurring = per_doc.groupBy(*TEMPLATE).agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).select(*TEMPLATE)
-    dropped = materialize(recurring.unionByName(generalised(texts, known, per_doc, min_docs)).distinct())  # so that a hot template's join can be split
-    flags = known.join(dropped.withColumn("drop", F.lit(True)), TEMPLATE, "left")
-    flags = flags.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.array_sort(F.collect_set(F.struct("line_no", F.coalesce("drop", F.lit(False)).alias("drop")))).alias("flags"))
+    per_doc = materialize(known.where("n_tokens > 0").groupBy(*TEMPLATE, "uid").agg(F.min("line_no").alias("line_no"), F.first("leaves").alias("leaves")))
+    weights = per_doc.groupBy(*TEMPLATE).agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("uid", "line_no")).alias("at"), F.first("leaves").alias("leaves"))
+    weights = materialize(weights)
+    often = weights.where(F.col("docs") >= min_docs).select(*TEMPLATE, "docs")
+    least = max(min_docs, per_doc.count() // HOT_SHARE)
+    other = generalised(texts, weights, per_doc.select(*TEMPLATE, "uid"), min_docs).withColumn("docs", F.lit(0).cast("bigint"))
+    dropped = materialize(often.unionByName(other))
+    forget(per_doc), forget(weights)
+    hot, usual = dropped.where(F.col("docs") >= least).select(*TEMPLATE), dropped.where(F.col("docs") < least).select(*TEMPLATE)
+    lines = known.select("uid", "doc_id", "line_no", *TEMPLATE)
+    met = lines.join(F.broadcast(hot.withColumn("hot", F.lit(True))), TEMPLATE, "left")
+    rest = met.where("hot IS NULL").join(usual.withColumn("usual", F.lit(True)), TEMPLATE, "left").select("uid", "doc_id", "line_no", F.coalesce("usual", F.lit(False)).alias("drop"))
+    flags = met.where("hot").select("uid", "doc_id", "line_no", F.lit(True).alias("drop")).unionByName(rest)
+    flags = flags.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.array_sort(F.collect_set(F.struct("line_no", "drop"))).alias("flags"))
     out = texts.join(flags.hint("shuffle_hash"), "uid")
     pairs = F.filter(F.arrays_zip(F.split("text", "\n").alias("line"), F.col("flags.drop").alias("drop")), lambda x: ~x["drop"])
     return out.select(

@@ -251,7 +251,8 @@ def test_line_dedup(spark, docs, empty, plain):
     got = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
     for i in range(4):
         assert got[i].n_lines == 6 and got[i].kept_text.startswith(f"own line {chr(97 + i)} only here\n")
-        assert shared not in got[i].kept_text and "counter" not in got[i].kept_text
+        assert shared not in got[i].kept_text and "counter" not in got[i].kept_text and names[i] not in got[i].kept_text
+        assert got[i].n_dropped == 4
     fewer = line_dedup.line_dedup(docs).collect()
     assert len(fewer) == len(plain) and line_dedup.line_dedup(empty).count() == 0
 
@@ -260,7 +261,60 @@ def test_generalised_fields(spark):
     rows = [(i, f"disk {n} on the third rack reports that all is well now") for i, n in enumerate(["alpha", "beta", "gamma", "delta"])]
     rows += [(9, "disk omega on the entirely different thing nobody else has ever written")]
     rows = [(i, "server " + t) for i, t in rows]
-    assert {r.doc_id: r.n_dropped for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id int, text string")).collect()}[9] == 0
+    got = {r.doc_id: r.n_dropped for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got == {0: 1, 1: 1, 2: 1, 3: 1, 9: 0}
+
+
+def test_two_templates_in_a_leaf(spark):
+    rows = [(i, f"the new service on {kind} {name} is up and running again") for i, (kind, name) in enumerate((k, n) for k in ("host", "port") for n in ("ann", "bob", "cat", "dan"))]
+    rows += [(20 + i, f"the new service on line {' '.join(random.Random(i).choices(WORDS, k=6))}") for i in range(3)]
+    got = {r.doc_id: r.n_dropped for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got == {i: int(i < 8) for i in (*range(8), 20, 21, 22)}
+
+
+def brute_lines(rows, min_docs=3):
+    """{(doc, line number)} dropped, by the rules of the module's docstring alone."""
+    masked = {(d, n): " ".join("<*>" if re.search("[0-9]", w) else w for w in line.split(" ") if w) for d, t in rows for n, line in enumerate((t or "").split("\n"))}
+    holders = collections.defaultdict(set)
+    for (d, _), line in masked.items():
+        if line:
+            holders[line].add(d)
+    dropped, leaves = {line for line, ds in holders.items() if len(ds) >= min_docs}, collections.defaultdict(list)
+    for line in holders:
+        words = line.split(" ")
+        if len(words) >= line_dedup.LEAST_TOKENS:
+            for out in range(line_dedup.LEAD):
+                leaves[len(words), out, tuple(w for i, w in enumerate(words[: line_dedup.LEAD]) if i != out)].append(line)
+    for lines in leaves.values():
+        held = collections.Counter()
+        for line in lines:
+            held.update({f: len(holders[line]) for f in enumerate(line.split(" "))})
+        groups = collections.defaultdict(list)
+        for line in lines:
+            same = tuple(f for f in enumerate(line.split(" ")) if held[f] >= min_docs)
+            if len(same) >= line_dedup.SIMILAR * len(line.split(" ")):
+                groups[same].append(line)
+        for group in groups.values():
+            if len(set().union(*(holders[line] for line in group))) >= min_docs:
+                dropped.update(group)
+    return {at for at, line in masked.items() if line in dropped}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_line_dedup_brute_force(spark, seed):
+    rnd = random.Random(seed)
+    forms = ["user {} came in from the north gate at noon", "see {} for more on this and {} other things today", "all rights are reserved by {} and its partners in trade", "{} is {} here", "short {}"]
+    value = lambda: rnd.choice(["ann", "bob", "cat", "dan", "eve", "7", "x9"] + [f"v{chr(97 + i)}z" for i in range(20)])
+    line = lambda: rnd.choice(forms).replace("{}", value(), 1).replace("{}", value()) if rnd.random() < 0.7 else " ".join(rnd.choices(WORDS, k=rnd.randint(0, 9)))
+    rows = [(i, "\n".join(line() for _ in range(rnd.randint(0, 5)))) for i in range(60)]
+    rows += [(100, None), (101, ""), (102, rows[0][1])]
+    gone = brute_lines(rows)
+    got = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    for d, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for n, x in enumerate(lines) if (d, n) not in gone]
+        assert (got[d].n_lines, got[d].n_dropped, got[d].kept_text) == (len(lines), len(lines) - len(kept), "\n".join(kept)), d
+    assert any(got[d].n_dropped for d, _ in rows)
 
 
 def test_decontaminate(spark, docs, empty):
