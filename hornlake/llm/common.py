@@ -30,6 +30,24 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id"), F.col("text"))
 
 
+def absent(columns: list[str], name: str) -> str:
+    """The name, with underscores before it until no column of the table is called so (letter case aside)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """docs, all columns as they are, without the rows of `keys` (doc_id, uid), uid being row_key()."""
+    key, own = absent(docs.columns, "uid"), absent(docs.columns, "own_id")
+    body = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    marked = docs.withColumn(own, F.col("doc_id").cast("bigint")).withColumn(key, F.xxhash64(own, body))
+    gone = checked(materialize(keys.select(F.col("doc_id").alias("gone_id"), F.col("uid").alias("gone_uid"))))
+    on = (marked[key] == gone["gone_uid"]) & marked[own].eqNullSafe(gone["gone_id"])
+    return marked.join(gone, on, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -40,8 +58,11 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset and Spark runs on this machine alone."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (named or _own_dir()).rstrip("/")
 
 
 def materialize(df: DataFrame) -> DataFrame:

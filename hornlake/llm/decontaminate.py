@@ -2,16 +2,20 @@ r"""Benchmark decontamination by template canonicalisation.
 
 Text becomes typed words: numbers <num>, words that are capitalised inside a
 sentence <name>, and a unit after a number <unit>.  A word is typed where it stands, in items and documents alike; at
-the beginning of a sentence it is a name if it is one elsewhere in the text and never in lower case.  Windows of WINDOW typed words of the benchmark form an index that is broadcast when its
-size is within BLOCK_WINDOWS, and otherwise in blocks of that many, each against all documents.  A
-document is contaminated by an item if, within a stretch of the item's length and a half, it holds at
-least COVER of the item's distinct windows, most of the matched words are literal, and slots are consistent:
-one value in the item stands for one value in the document wherever it occurs.
-Windows of plain words are matched too, and covered by them an item is contaminated without more
-conditions, so no copy is lost by the typing of its words.
+the beginning of a sentence it is a name if it is one elsewhere in the text and never in lower case.  Windows of
+WINDOW typed words, and of plain words, are hashed on both sides and joined:
+
+1. The distinct window hashes of all items are a table.  A bitmap of them of BITS bits, whatever the
+   benchmark's size, lets documents leave out windows that no item has.
+2. Documents' distinct windows join the table; a document that has less than COVER of an item's distinct windows is out.
+3. What is left is verified as a pair of texts: within a stretch of the item's length and a half the document holds
+   COVER of the item's windows themselves, most of the matched words are literal, and slots are consistent:
+   one value in the item stands for one value in the document wherever it occurs.  Covered by windows of plain words
+   a document is contaminated without more conditions, so no copy is lost by the typing of its words or by letter case.
 
 Defined cases: null text matches nothing; items with fewer than WINDOW words are one shorter window and
-match that exact sequence; empty items match nothing; repeated rows are decided alike; item ids may be null.
+match that exact sequence; empty items match nothing; repeated documents are decided alike, repeated items
+are one; item ids may be null.
 """
 
 from __future__ import annotations
@@ -20,14 +24,16 @@ import re
 from collections import Counter, defaultdict
 from itertools import compress
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, give_back, id_text
+from .common import checked, chunks, id_text, materialize, row_key, without
 
 WINDOW, COVER, LITERAL, CONSISTENT = 5, 0.8, 0.5, 0.9
-BLOCK_WINDOWS = 500_000
+BITS = 1 << 23
 # Units of measure that may follow a number.
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg lb oz ml l s ms min h hr hrs kb mb gb tb hz khz mhz ghz w kw v a usd eur percent".split())
 TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?:;\n|]")
@@ -157,52 +163,113 @@ class Index:
         return "verbatim" if all(set(v) == {value} for (_, value), v in slots.items()) else "template"
 
 
-def index_blocks(benchmark: DataFrame):
-    """Indexes that cover the whole benchmark, each of about BLOCK_WINDOWS words at most."""
-    items, held = [], 0
-    for r in benchmark.select(F.col("item_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit(""))).toLocalIterator():
-        items.append((r[0], r[1]))
-        held += len(r[1]) // 4
-        if held > BLOCK_WINDOWS:
-            yield Index(items)
-            items, held = [], 0
-    if items:
-        yield Index(items)
+class WindowHashes:
+    """64-bit hashes of windows by rolling sums of word hashes; words are kept up to a bound."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+
+    def words(self, words: list[str]) -> np.ndarray:
+        known = self.known
+        if len(known) > 500_000:
+            known.clear()
+        for w in set(words) - known.keys():
+            known[w] = xxhash.xxh3_64_intdigest(w)
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+    def distinct(self, words: list[str], sizes: set[int]) -> np.ndarray:
+        """Of the windows of WINDOW words (of all, if there are fewer) and of the given lesser sizes."""
+        h, out = self.words(words), []
+        for size in {min(WINDOW, len(words)), *(k for k in sizes if k < len(words))} - {0}:
+            total = np.full(len(h) - size + 1, size, np.uint64)
+            for i in range(size):
+                total = total * _STEP + h[i : len(h) - size + 1 + i]
+            total ^= total >> np.uint64(31)
+            out.append(total * _MIX)
+        return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+
+
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _item_windows(batches):
+    hashes = WindowHashes()
+    for batch in batches:
+        out = [[], [], [], []]
+        for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for form, words in enumerate(typed(text)):
+                found = hashes.distinct(words, set()).view(np.int64).tolist()
+                for column, v in zip(out, ([item] * len(found), [form] * len(found), found, [min(WINDOW, len(words))] * len(found)), strict=True):
+                    column += v
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int32()))], ["item", "form", "h", "words"])
+
+
+def _document_windows(shared):
+    def run(batches):
+        bits, sizes = shared.value
+        hashes = WindowHashes()
+        for batch in (part for batch in batches for part in chunks(batch, 2)):
+            uids, docs, forms, found = [], [], [], []
+            for uid, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                for form, words in enumerate(typed(text)):
+                    h = hashes.distinct(words, sizes)
+                    at = h % np.uint64(BITS)
+                    h = h[bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1) == 1]
+                    if len(h):
+                        uids.append(np.full(len(h), uid)), docs.extend([doc] * len(h))
+                        forms.append(np.full(len(h), form, np.int32)), found.append(h.view(np.int64))
+            if uids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(uids)), pa.array(docs, pa.int64()), pa.array(np.concatenate(forms)), pa.array(np.concatenate(found))], ["uid", "doc_id", "form", "h"])
+
+    return run
+
+
+def _verify(batches):
+    for batch in (part for batch in batches for part in chunks(batch, 1)):
+        got = []
+        for doc, text, items in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            got += [(doc, *m) for m in Index([(i["item_id"], i["text"]) for i in items]).matches(text)]
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got), (pa.int64(), pa.int64(), pa.float64(), pa.bool_()))], ["doc_id", "item_id", "coverage", "verbatim"])
+
+
+def _pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(uid, doc_id, text, items array<struct<item_id, text>>) of documents and the items whose windows they hold."""
+    spark = docs.sparkSession
+    rows = id_text(docs).withColumn("uid", row_key())
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
+    items = items.withColumn("item", F.xxhash64("item_id", "text"))
+    windows = materialize(items.select("item", "text").mapInArrow(_item_windows, "item bigint, form int, h bigint, words int"))
+    at = F.expr(f"h & {BITS - 1}")  # BITS is a power of two, so that this is the unsigned remainder
+    marks = windows.select(F.shiftright(at, 6).alias("word"), (at % 64).alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit AS INT))")).alias("bits"))
+    bits = np.zeros(BITS // 64, np.int64)
+    for r in marks.collect():  # at most BITS / 64 rows
+        bits[r.word] = r.bits
+    sizes = {r.words for r in windows.where(F.col("words") < WINDOW).select("words").distinct().collect()}  # at most WINDOW - 1 rows
+    shared = spark.sparkContext.broadcast((bits.view(np.uint64), sizes))
+    met = rows.select("uid", "doc_id", "text").mapInArrow(_document_windows(shared), "uid bigint, doc_id bigint, form int, h bigint")
+    needed = windows.groupBy("item", "form").agg(F.count(F.lit(1)).alias("of"))
+    found = met.join(windows.select("item", "form", "h"), ["form", "h"]).groupBy("uid", "doc_id", "item", "form").agg(F.count_distinct("h").alias("met"))
+    found = found.join(needed, ["item", "form"]).where(F.col("met") >= COVER * F.col("of")).select("uid", "item").distinct()
+    wanted = materialize(found.join(items, "item").groupBy("uid").agg(F.collect_list(F.struct("item_id", "text")).alias("items")))
+    few = rows.join(checked(wanted.select("uid")), "uid", "left_semi")
+    return few.join(wanted, "uid").select("uid", "doc_id", "text", "items")
 
 
 def findings(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, coverage, verbatim) for each contaminated document and item."""
-    spark, rows, out = docs.sparkSession, id_text(docs), None
-    for index in index_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(index)
-
-        def run(batches, shared=shared):
-            for batch in (part for batch in batches for part in chunks(batch, 1)):
-                got = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m in shared.value.matches(t)]
-                if got:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got), (pa.int64(), pa.int64(), pa.float64(), pa.bool_()))], ["doc_id", "item_id", "coverage", "verbatim"])
-
-        part = rows.mapInArrow(run, "doc_id bigint, item_id bigint, coverage double, verbatim boolean")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], "doc_id bigint, item_id bigint, coverage double, verbatim boolean")
-
+    return _pairs(docs, benchmark).select("doc_id", "text", "items").mapInArrow(_verify, "doc_id bigint, item_id bigint, coverage double, verbatim boolean")
 
-def _dirty(shared):
-    @F.arrow_udf("boolean")
-    def dirty(texts: pa.Array) -> pa.Array:
-        found = [bool(shared.value.matches(t.as_py())) for t in texts]
-        give_back()
-        return pa.array(found, pa.bool_())
 
-    return dirty
+def _dirty(batches):
+    for batch in (part for batch in batches for part in chunks(batch, 2)):
+        keep = [bool(Index([(i["item_id"], i["text"]) for i in items]).matches(text)) for text, items in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        yield batch.select(["uid", "doc_id"]).filter(pa.array(keep, pa.bool_()))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs, all columns, without contaminated documents; texts are not shuffled."""
-    for index in index_blocks(benchmark):
-        dirty = _dirty(docs.sparkSession.sparkContext.broadcast(index))
-        docs = docs.where(~dirty(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return docs
+    """docs, all columns as they are, without contaminated documents."""
+    return without(docs, _pairs(docs, benchmark).mapInArrow(_dirty, "uid bigint, doc_id bigint"))
 
 
 def op4_decontaminate(spark, sf_dir):
