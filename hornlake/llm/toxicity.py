@@ -1,21 +1,21 @@
 """Toxicity by nearest labelled examples.
 
-Terms are words and their first 5 to 7 letters.  A bounded sample of labelled rows (SAMPLE per class)
-picks the terms that mark toxic texts, at most TERMS of them, by a chi-square test; every document
-becomes a TF-IDF vector of those terms and one background term that stands for all its other words.
-Document frequencies are counted over all documents.
-
-The sampled examples form a block-max inverted index: postings per term in blocks of BLOCK examples
-with each block's largest weight.  A query bounds every block's best cosine, opens blocks in falling
-order of bounds, and stops when no bound can reach the k-th best: the neighbours are exact.  Votes
+A bounded sample of labelled rows (SAMPLE per class) is the training set.  Every word of its texts is a term; a
+document becomes a vector of its terms by TF-IDF times an evidence factor, from FAINT for words
+that are alike in both classes to STRONG for those that clearly mark one, and of one background term that all texts share.
+Document frequencies are counted over all documents; only the evidence comes from the sample.
+
+The sampled examples form a block-max inverted index over all terms: postings in blocks of BLOCK examples with each
+block's largest weight per term.  A query bounds every block's best cosine, opens the blocks of the highest
+bounds and then those whose bound can still reach the k-th best: the neighbours are exact.  Votes
 weigh by closeness and by how the sample thinned each class; isotonic regression over the examples'
 own left-out votes turns them into probabilities, and the nearest examples are the evidence.
 
-Index size is bounded by SAMPLE and TERMS, so it is broadcast.  Labels of held-out ids never count.
+Index size is bounded by SAMPLE and the words of the sampled texts, so it is broadcast.  Labels of held-out ids never count.
 
-Defined cases: null or empty texts are scored like texts without any chosen term; without labels of
+Defined cases: null or empty texts are scored like texts without any known word; without labels of
 both classes the score is 0.0; null ids are scored; a labelled id's repeated rows are all examples, up
-to the bound; conflicting labels of an id count as toxic.
+to 2 SAMPLE rows a class by hash; conflicting labels of an id count as toxic.
 """
 
 from __future__ import annotations
@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked, chunks, id_text, materialize, row_key
+from .common import chunks, id_text, materialize, row_key, without
 
-SAMPLE, TERMS, BLOCK, NEIGHBOURS = 4000, 4096, 64, 25
-LEAST_CHI, LEAST_LIFT = 20.0, 4.0
+SAMPLE, BLOCK, NEIGHBOURS = 1500, 64, 25
+FAINT, STRONG, LONG, FIRST_BLOCKS = 0.05, 10.0, 24, 4
 FOLDS = 5
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -42,105 +42,121 @@ def words_of(text: str) -> Counter:
     return Counter(WORD.findall(text.lower()))
 
 
-def terms_of(word: str) -> list[str]:
-    return [word, *(word[:n] + "*" for n in (5, 6, 7) if len(word) > n)] if len(word) > 2 else []
-
-
 def held_out(doc_id):
     """True for ids whose labels may not be learnt."""
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0
 
 
-def _terms(batches):
-    for batch in batches:
-        for text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            found = list({t for w in words_of(text) for t in terms_of(w)})
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([toxic] * len(found), pa.int32())], ["term", "toxic"])
+def _examples(batches):
+    for batch in (part for batch in batches for part in chunks(batch, 2)):
+        counts = [words_of(t) for t in batch.column(2).to_pylist()]
+        kind = pa.list_(pa.string()), pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array([list(c) for c in counts], kind[0]), pa.array([list(c.values()) for c in counts], kind[1])], ["uid", "doc_id", "toxic", "words", "freqs"])
 
 
-def _vectors(terms: dict[str, int]):
+def _vectors(terms):
     def run(batches):
+        known = terms.value
         for batch in (part for batch in batches for part in chunks(batch, 2)):
-            size, index, freq = [], [], []
+            index, freq = [], []
             for text in batch.column(2).to_pylist():
                 counts = words_of(text)
-                held: Counter = Counter()
-                for w, n in counts.items():
-                    if len(w) > 2:
-                        for t in (w, w[:5] + "*", w[:6] + "*", w[:7] + "*") if len(w) > 7 else terms_of(w):
-                            if t in terms:
-                                held[terms[t]] += n
-                size.append(sum(counts.values())), index.append(sorted(held)), freq.append([held[i] for i in sorted(held)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(index, pa.list_(pa.int32())), pa.array(freq, pa.list_(pa.int64()))], ["uid", "doc_id", "size", "terms", "freqs"])
+                ids = [(known[w], n) for w, n in counts.items() if w in known]
+                index.append([i for i, _ in ids]), freq.append([n for _, n in ids])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(index, pa.list_(pa.int32())), pa.array(freq, pa.list_(pa.int32()))], ["uid", "doc_id", "terms", "freqs"])
 
     return run
 
 
-def unit_vector(size: int, index, freqs, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Term numbers and weights of a unit vector; the last number is the background term."""
-    ids = np.append(np.asarray(index, np.int64), len(idf))
-    weights = np.append((1 + np.log(np.asarray(freqs, float))) * idf[ids[:-1]], 1 + math.log1p(size))
-    return ids, weights / np.linalg.norm(weights)
+def evidence(toxic: np.ndarray, clean: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """FAINT and up to STRONG more, by a quarter of the squared score of a test that the word's rates differ; counts are examples with the word."""
+    rates = np.log((toxic + 0.5) / (n1 + 1)) - np.log((clean + 0.5) / (n0 + 1))
+    return FAINT + np.minimum(STRONG, rates**2 / (1 / (toxic + 0.5) + 1 / (clean + 0.5)) / 4)
+
+
+def unit_vector(index, freqs, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Term numbers in order and weights of a unit vector; the last number is the background term.
+
+    weight: IDF times evidence of each term.
+    """
+    index, freqs = np.asarray(index, np.int64), np.asarray(freqs, float)
+    order = np.argsort(index)
+    ids = np.append(index[order], len(weight))
+    values = np.append((1 + np.log(freqs[order])) * weight[ids[:-1]], 1.0)
+    return ids, values / np.linalg.norm(values)
 
 
 class BlockMaxIndex:
-    """Unit vectors of labelled examples; equal vectors share an entry.  counts: (clean, toxic) weights."""
+    """Unit vectors of labelled examples; equal vectors share an entry.  counts: (clean, toxic) weights.
+
+    Terms of LONG and more postings have them as rows of dense blocks with a maximum a block; the few of
+    all other terms are added up for all examples at once.
+    """
 
-    def __init__(self, examples, n_terms: int, background: int):
+    def __init__(self, examples, n_terms: int):
         entries: dict[tuple, list] = {}
         for ids, weights, toxic, weight, doc in examples:
             e = entries.setdefault((tuple(ids), tuple(np.round(weights, 9))), [0, 0.0, 0.0, [], ids, weights])
             e[0] += 1
             e[1 + toxic] += weight
             e[3] = e[3][:3] if len(e[3]) >= 3 else [*e[3], (doc, toxic)]
-        order = sorted(entries)  # neighbours share terms, so blocks have few
+        order = sorted(entries, key=lambda k: (entries[k][2] > 0, k))  # a block's examples are of one class, most often
         self.entries = [entries[k] for k in order]
+        self.number = {k: n for n, k in enumerate(order)}
         self.sizes = np.array([e[0] for e in self.entries])
         self.blocks = -(-len(order) // BLOCK)
-        postings: dict[int, list] = {}
-        for n, e in enumerate(self.entries):
-            for t, w in zip(e[4], e[5], strict=True):
-                postings.setdefault(int(t), []).append((n, w))
-        self.postings = {}
-        for t, rows in postings.items():
-            at, w = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-            block = at // BLOCK
-            starts = np.searchsorted(block, np.arange(self.blocks + 1))
-            most = np.zeros(self.blocks)
-            np.maximum.at(most, block, w)
-            self.postings[t] = (at, w, starts, most)
+        terms = np.concatenate([e[4] for e in self.entries])
+        values = np.concatenate([e[5] for e in self.entries])
+        of = np.repeat(np.arange(len(self.entries)), [len(e[4]) for e in self.entries])
+        by_term = np.argsort(terms, kind="stable")
+        self.of, self.values = of[by_term], values[by_term]
+        self.starts = np.searchsorted(terms[by_term], np.arange(n_terms + 2))
+        held = np.diff(self.starts)
+        self.row = np.where(held >= LONG, np.cumsum(held >= LONG) - 1, -1)
+        self.dense = np.zeros((self.blocks, int((held >= LONG).sum()), BLOCK))
+        for t in np.flatnonzero(held >= LONG):
+            at = self.of[self.starts[t] : self.starts[t + 1]]
+            self.dense[at // BLOCK, self.row[t], at % BLOCK] = self.values[self.starts[t] : self.starts[t + 1]]
+        self.most = self.dense.max(axis=2)
 
     def nearest(self, ids, weights, k: int, without: int | None = None) -> list[tuple[float, int, float]]:
         """(cosine, entry, share of the entry's rows that count) of the exact k nearest rows.
 
         without: an entry one of whose rows is left out.  Equal cosines go by entry number.
         """
-        held = [(self.postings[int(t)], w) for t, w in zip(ids, weights, strict=True) if int(t) in self.postings]
-        bound = sum((w * p[3] for p, w in held), np.zeros(self.blocks))
-        found: list[tuple[float, int]] = []
-        least, rows = -1.0, 0
-        for b in np.argsort(-bound, kind="stable"):
-            if rows >= k and bound[b] < least - 1e-12:
-                break
-            score = np.zeros(min(BLOCK, len(self.entries) - b * BLOCK))
-            for (at, w, starts, _), q in held:
-                lo, hi = starts[b], starts[b + 1]
-                np.add.at(score, at[lo:hi] - b * BLOCK, q * w[lo:hi])
-            found += [(-round(float(s), 12), int(b) * BLOCK + i) for i, s in enumerate(score) if s > 0 and (rows < k or s >= least - 1e-12)]
-            found.sort()
-            rows = 0
-            for cut, (s, e) in enumerate(found):
-                rows += self.sizes[e] - (e == without)
-                if rows >= k:
-                    least = -s
-                    found = [f for f in found if -f[0] >= least - 1e-12]
-                    break
+        row = self.row[ids]
+        rows, strong = row[row >= 0], weights[row >= 0]
+        scores = np.zeros(self.blocks * BLOCK)
+        few = ids[row < 0]
+        if len(few):
+            lows, highs = self.starts[few], self.starts[few + 1]
+            counts = highs - lows
+            at = np.arange(counts.sum()) + np.repeat(lows - np.cumsum(counts) + counts, counts)
+            scores += np.bincount(self.of[at], self.values[at] * np.repeat(weights[row < 0], counts), self.blocks * BLOCK)
+        scores = scores.reshape(self.blocks, BLOCK)
+        sizes = np.zeros(self.blocks * BLOCK, np.int64)
+        sizes[: len(self.sizes)] = self.sizes
+        if without is not None:
+            sizes[without] -= 1
+        bound = self.most[:, rows] @ strong + scores.max(axis=1)
+        order = np.argsort(-bound, kind="stable")
+        opened = np.zeros(0, np.int64)
+        least = -1.0
+        for some in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
+            some = some[bound[some] >= least - 1e-12]
+            scores[some] += strong @ self.dense[some][:, rows] if len(rows) else 0.0
+            opened = np.concatenate([opened, (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()])
+            flat = np.round(scores.ravel()[opened], 12)
+            best = opened[np.lexsort((opened, -flat))]
+            until = np.searchsorted(np.cumsum(sizes[best]), k)
+            least = round(float(scores.ravel()[best[until]]), 12) if until < len(best) else -1.0
         out, left = [], k
-        for s, e in found:
-            n = int(self.sizes[e]) - (e == without)
-            if n > 0 and left > 0:
-                out.append((-s, e, min(1.0, left / n)))
-                left -= n
+        for e in best:
+            if left <= 0 or (s := round(float(scores.ravel()[e]), 12)) <= 0:
+                break
+            if sizes[e]:
+                out.append((s, int(e), min(1.0, left / sizes[e])))
+                left -= sizes[e]
         return out
 
     def vote(self, ids, weights, k: int, without: tuple[int, int, float] | None = None) -> tuple[float, list]:
@@ -190,63 +206,52 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     sizes = {r.toxic: r["count"] for r in picked.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return rows.select("uid", "doc_id", *nothing)
-    texts = rows.join(F.broadcast(picked), "doc_id").select("text", "toxic")  # at most 2 x SAMPLE ids
-    held = texts.mapInArrow(_terms, "term string, toxic int").groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t"))
-    n1, n0 = float(sizes[1]), float(sizes[0])
-    clean, toxic, n = F.col("n") - F.col("t"), F.col("t"), n0 + n1
-    chi = n * F.pow(toxic * (n0 - clean) - clean * (n1 - toxic), 2) / (n1 * n0 * F.col("n") * F.greatest(F.lit(n) - F.col("n"), F.lit(0.5)))
-    strong = held.withColumn("chi", chi).where((F.col("chi") >= LEAST_CHI) & ((toxic + 0.5) / n1 >= LEAST_LIFT * (clean + 0.5) / n0))
-    terms = {r.term: i for i, r in enumerate(strong.orderBy(F.desc("chi"), "term").limit(TERMS).collect())}
-
-    vectors = materialize(rows.mapInArrow(_vectors(terms), "uid bigint, doc_id bigint, size bigint, terms array<int>, freqs array<bigint>"))
-    total = vectors.count()
-    idf = np.full(len(terms), math.log1p(total))
-    for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # at most TERMS rows
-        idf[r.t] = math.log((1 + total) / (1 + r["count"])) + 0.1
-    examples = []
-    for r in vectors.join(F.broadcast(picked), "doc_id").select("doc_id", "size", "terms", "freqs", "toxic").toLocalIterator():
-        ids, weights = unit_vector(r.size, r.terms, r.freqs, idf)
-        examples.append((ids, weights, r.toxic, thin[r.toxic], r.doc_id))
-        if len(examples) >= 4 * SAMPLE:
-            break  # repeated rows of labelled ids, beyond the documented bound of the fit
-    if {e[2] for e in examples} != {0, 1}:
+    texts = rows.join(F.broadcast(picked), "doc_id").select("uid", "doc_id", "text", "toxic")  # at most 2 x SAMPLE ids
+    texts = [texts.where(F.col("toxic") == c).orderBy(F.xxhash64("uid"), "uid").limit(2 * SAMPLE) for c in (0, 1)]
+    held = texts[0].unionByName(texts[1]).mapInArrow(_examples, "uid bigint, doc_id bigint, toxic int, words array<string>, freqs array<bigint>").collect()
+    sizes = Counter(r.toxic for r in held)
+    if len(sizes) < 2:
         return rows.select("uid", "doc_id", *nothing)
-    index = BlockMaxIndex(examples, len(terms), len(idf))
-    entry = {(tuple(e[4]), tuple(np.round(e[5], 9))): n for n, e in enumerate(index.entries)}
-    votes: dict[tuple, float] = {}
-    raw = []
-    for ids, weights, toxic, weight, _ in examples:
-        key = (entry[tuple(ids), tuple(np.round(weights, 9))], toxic, weight)
-        if key not in votes:
-            votes[key] = index.vote(ids, weights, NEIGHBOURS, key)[0]
-        raw.append(votes[key])
+    terms = {w: i for i, w in enumerate(sorted(set().union(*(r.words for r in held))))}
+    marked = np.zeros((2, len(terms)))
+    for r in held:
+        marked[r.toxic, [terms[w] for w in r.words]] += 1
+    vectors = materialize(rows.mapInArrow(_vectors(spark.sparkContext.broadcast(terms)), "uid bigint, doc_id bigint, terms array<int>, freqs array<int>"))
+    total = vectors.count()
+    weight = np.full(len(terms), math.log1p(total))
+    for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().toLocalIterator():  # a row per term of the bounded sample
+        weight[r.t] = math.log((1 + total) / (1 + r["count"])) + 0.1
+    weight *= evidence(marked[1], marked[0], sizes[1], sizes[0])
+    examples = [(*unit_vector([terms[w] for w in r.words], r.freqs, weight), r.toxic, thin[r.toxic], r.doc_id) for r in held]
+    index = BlockMaxIndex(examples, len(terms))
+    raw, known = [], {}
+    for ids, weights, toxic, part, _ in examples:
+        key = (index.number[tuple(ids), tuple(np.round(weights, 9))], toxic, part)
+        if key not in known:
+            known[key] = index.vote(ids, weights, NEIGHBOURS, key)[0]
+        raw.append(known[key])
     steps = isotonic(raw, [e[2] for e in examples], [e[3] for e in examples])
-    model = spark.sparkContext.broadcast((index, idf, steps))
+    index.number = None
+    for e in index.entries:
+        e[4] = e[5] = None  # the postings have them
+    model = spark.sparkContext.broadcast((index, weight, steps))
 
     def run(batches):
-        index, idf, (starts, levels) = model.value
-        known: dict = {}
+        index, weight, (starts, levels) = model.value
         for batch in batches:
-            out, evidence = [], []
-            for size, ids, freqs in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                key = (size if ids else 0, *ids, *freqs)
-                if key not in known:
-                    if len(known) > 20_000:
-                        known = {}
-                    vote, near = index.vote(*unit_vector(key[0], ids, freqs, idf), NEIGHBOURS)
-                    level = levels[max(0, bisect_right(starts, vote) - 1)]
-                    known[key] = (min(1.0, max(0.0, 0.998 * level + 0.001 + 0.001 * (2 * vote - 1))), [f"{d}:{t}:{c:g}" for d, t, c in near])
-                out.append(known[key][0]), evidence.append(known[key][1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64()), pa.array(evidence, pa.list_(pa.string()))], ["uid", "doc_id", "score", "evidence"])
+            out, near = [], []
+            for ids, freqs in zip(*(batch.column(i).to_pylist() for i in (2, 3)), strict=True):
+                vote, found = index.vote(*unit_vector(ids, freqs, weight), NEIGHBOURS)
+                level = levels[max(0, bisect_right(starts, vote) - 1)]
+                out.append(min(1.0, max(0.0, 0.998 * level + 0.001 + 0.001 * (2 * vote - 1)))), near.append([f"{d}:{t}:{c:g}" for d, t, c in found])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64()), pa.array(near, pa.list_(pa.string()))], ["uid", "doc_id", "score", "evidence"])
 
     return vectors.mapInArrow(run, "uid bigint, doc_id bigint, score double, evidence array<string>")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, most: float = 0.5) -> DataFrame:
     """docs, all columns, without those that score `most` or more."""
-    toxic = checked(materialize(score(docs, labels).where(F.col("score") >= most).select(F.col("uid").alias("_uid"))))
-    body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumn("_uid", F.xxhash64(F.col("doc_id").cast("bigint"), body)).join(toxic, "_uid", "left_anti").drop("_uid")
+    return without(docs, score(docs, labels).where(F.col("score") >= most).select("doc_id", "uid"))
 
 
 def op3_toxicity(spark, sf_dir):

@@ -385,10 +385,10 @@ def test_block_max_is_exact():
 
     def vector():
         ids = sorted(rnd.sample(range(40), rnd.randint(0, 5)))
-        return toxicity.unit_vector(rnd.randint(0, 50), ids, [rnd.randint(1, 4) for _ in ids], idf)
+        return toxicity.unit_vector(ids, [rnd.randint(1, 4) for _ in ids], idf)
 
     examples = [(*vector(), rnd.randint(0, 1), 1.0, n) for n in range(700)]
-    index = toxicity.BlockMaxIndex(examples, 40, 40)
+    index = toxicity.BlockMaxIndex(examples, 40)
     for _ in range(30):
         ids, weights = vector()
         q = dict(zip(ids.tolist(), weights))
