@@ -101,22 +101,24 @@ def plan(counts: dict[int, int], tokens: int, documents: int | None = None, atte
 
 
 def pack(items: DataFrame, tokens: int = 2048, **how) -> DataFrame:
-    """items, whose `length` is at most tokens, with sequence_id and offset added."""
-    counts = {r.length: r["count"] for r in items.groupBy("length").count().collect()}  # at most `tokens` rows
+    """items, whose `length` is at most tokens, with sequence_id and offset added (in the place of columns so called)."""
+    rows = items.select(F.col("length").cast("bigint").alias("length"), F.struct(*[F.col(f"`{c}`") for c in items.columns]).alias("item"))
+    counts = {r.length: r["count"] for r in rows.groupBy("length").count().collect()}  # at most `tokens` rows
     runs, _ = plan(counts, tokens, **how)
-    if len(runs) > RUNS_BOUND:
-        raise ValueError("more runs than may be broadcast")
-    spark = items.sparkSession
     by_length: dict[int, list] = {}
-    for length, rank, n, first, offset in runs:
-        by_length.setdefault(length, []).append((rank, n, first, offset))
-    table = spark.createDataFrame(list(by_length.items()), "length bigint, runs array<struct<rank:bigint,n:bigint,first:bigint,offset:bigint>>")
+    for run in runs:
+        by_length.setdefault(run[0], []).append(run)
+    # A length's ranks are cut into about as many steps as it has runs, so that an item meets the few runs of its step.
+    steps = {length: max(1, counts[length] // len(held)) for length, held in by_length.items()}
+    table = [(length, at, rank, n, first, offset) for length, rank, n, first, offset in runs for at in range(rank // steps[length], (rank + n - 1) // steps[length] + 1)]
+    met = items.sparkSession.createDataFrame(table, "length bigint, step bigint, first_rank bigint, n bigint, first bigint, offset bigint")
+    met = F.broadcast(met) if len(table) <= RUNS_BOUND else met
+    sizes = items.sparkSession.createDataFrame(list(steps.items()), "length bigint, width bigint")
     blocks = max(8, sum(counts.values()) // BLOCK_ROWS + 1)
-    keys = [c for c in items.columns if c != "length"]
-    ranked = dense_rank_blocks(items, "length", keys, "_rank", blocks)
-    met = ranked.join(F.broadcast(table), "length").withColumn("_run", F.expr("filter(runs, r -> _rank >= r.rank AND _rank < r.rank + r.n)[0]"))
-    place = F.col("_run.first") + F.col("_rank") - F.col("_run.rank")
-    return met.select(*items.columns, place.alias("sequence_id"), F.col("_run.offset").alias("offset"))
+    ranked = dense_rank_blocks(rows, "length", ["item"], "rank", blocks).join(F.broadcast(sizes), "length").withColumn("step", F.expr("rank div width"))
+    found = ranked.join(met, ["length", "step"]).where("rank >= first_rank AND rank < first_rank + n")
+    own = [c for c in items.columns if c.lower() not in ("sequence_id", "offset")]
+    return found.select(*[F.col("item").getField(c).alias(c) for c in own], (F.col("first") + F.col("rank") - F.col("first_rank")).alias("sequence_id"), F.col("offset"))
 
 
 def op5_packing(spark, sf_dir):
