@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import ipaddress
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 from ..functions.builtins import java_pattern
 
 
+GATED = 4  # with more patterns, one expression goes before them
+
+
 def dash_forms(pattern: str) -> list[str]:
     """A leading - or / and its alternative."""
     return [pattern, {"-": "/", "/": "-"}[pattern[0]] + pattern[1:]] if pattern[:1] in ("-", "/") else [pattern]
@@ -85,8 +89,33 @@ def produced(kind: str, case_insensitive: bool = False, windash: bool = False) -
     return ("ci_" if case_insensitive and kind not in NAMES else "") + ("wd_" if windash and kind in ("contains", "starts_with") else "") + base
 
 
+def gate(kind: str, value: Column, patterns: list[str], case_insensitive: bool, windash: bool) -> Column | None:
+    """One regular expression that every matching value passes, None where there is no such form.
+
+    It only keeps values from the patterns' own tests, so it may let more pass but never fewer.
+    """
+    if kind == "regex_match":
+        whole = "|".join(f"(?:{java_pattern(p)})" for p in patterns)
+        return value.rlike(("(?i)" if case_insensitive else "") + whole)
+    if kind in ("contains", "starts_with", "ends_with"):
+        plain = [p for q in patterns for p in (dash_forms(q) if windash and kind != "ends_with" else [q])]
+    elif kind in ("base64", "base64_utf16le"):
+        plain = [n for p in patterns for n in base64_needles(p.encode("utf-16-le" if kind == "base64_utf16le" else "utf-8"))]
+        case_insensitive = False
+    else:
+        return None
+    if case_insensitive:
+        value, plain = F.lower(value), [p.lower() for p in plain]
+    if not plain:
+        return F.lit(False)
+    whole = "|".join(re.sub(r"[^A-Za-z0-9_\s]", lambda m: "\\" + m[0], p) for p in dict.fromkeys(plain))
+    return value.rlike({"starts_with": rf"\A(?:{whole})", "ends_with": rf"(?:{whole})\z"}.get(kind, whole))
+
+
 def match(df: DataFrame, column: str, kind: str, patterns: list[str], case_insensitive: bool = False, windash: bool = False) -> DataFrame:
     """(c0: value, c1: pattern) for each distinct string and each pattern that it matches."""
     values = df.select(F.col(column).alias("c0")).where("c0 IS NOT NULL").distinct()
+    if len(patterns) > GATED and (test := gate(kind, F.col("c0"), patterns, case_insensitive, windash)) is not None:
+        values = values.where(test)
     hits = F.array_compact(F.array(*[F.when(tests(kind, F.col("c0"), p, case_insensitive, windash), F.lit(p)) for p in dict.fromkeys(patterns)]))
     return values.select("c0", F.explode(hits).alias("c1"))

@@ -19,7 +19,10 @@ from ..functions import builtins
 from ..functions.values import NUMBERS, arithmetic, compare, literal, same, to_json
 from ..plans.analysis import TESTS
 from ..plans.language import Atom, Compare, Const, Is, Op, ProgramError, Rule, Var, variables
-from ..sources.database import Database, Relation
+from ..sources.database import SQL_TYPES, Database, Relation
+
+
+MOST_OUTPUTS = 64
 
 
 @dataclass
@@ -29,6 +32,13 @@ class Functions:
     values: dict[str, tuple[int, Callable]] = field(default_factory=lambda: dict(builtins.VALUES))
     multi: dict[str, tuple[int, Callable]] = field(default_factory=lambda: dict(builtins.MULTI))
 
+    def __post_init__(self):
+        if taken := sorted(TESTS.keys() & (self.values.keys() | self.multi.keys())):
+            raise ProgramError(f"{', '.join(taken)} cannot be replaced: text tests bind nothing")
+        for name, (n, _) in self.multi.items():
+            if not 0 <= n <= MOST_OUTPUTS:
+                raise ProgramError(f"{name} has {n} outputs")
+
     def arities(self) -> dict[str, int]:
         fixed = {n: (a + 1 if n in builtins.MULTI else -1) for n, (a, _) in self.multi.items()}
         return TESTS | {n: a for n, (a, _) in self.values.items()} | fixed
@@ -37,6 +47,15 @@ class Functions:
         return {n: 1 for n in self.values} | {n: k for n, (k, _) in self.multi.items()}
 
 
+def returned(name: str, found, outputs: int | None = None):
+    """What a builtin gave, if it is a Column and a kind (as many kinds as outputs), else ProgramError."""
+    good = isinstance(found, tuple) and len(found) == 2 and isinstance(found[0], Column)
+    kinds = [found[1]] if good and outputs is None else found[1] if good else []
+    if not good or not isinstance(kinds, list | tuple) or not set(kinds) <= SQL_TYPES.keys() or len(kinds) != (1 if outputs is None else outputs):
+        raise ProgramError(f"{name} must give a column and {'its kind' if outputs is None else f'{outputs} kinds'} of {sorted(SQL_TYPES)}, not {found!r}")
+    return found
+
+
 class Solutions:
     """Partial solutions of a body: df has a column v_<name> for each bound variable."""
 
@@ -151,13 +170,13 @@ def solve(rule: Rule, db: Database, functions: Functions, swap: tuple[int, Relat
             constant = b.terms[1].value if isinstance(b.terms[1], Const) else None
             s = s.where(builtins.text_test(b.name, hay, needle, constant) if hay is not None and needle is not None else F.lit(False))
         elif b.name in functions.values:
-            column, kind = functions.values[b.name][1](*[s.value(t) for t in b.terms[:-1]])
+            column, kind = returned(b.name, functions.values[b.name][1](*[s.value(t) for t in b.terms[:-1]]))
             s = s.bind(b.terms[-1], column, kind)
         elif b.name in functions.multi:
             n, make = functions.multi[b.name]
-            column, kinds = make(*[s.value(t) for t in b.terms[:-n]])
+            column, kinds = returned(b.name, make(*[s.value(t) for t in b.terms[: len(b.terms) - n]]), n)
             s = Solutions(s.df.withColumn("_o", F.explode(column)), s.kinds)
-            for j, (t, k) in enumerate(zip(b.terms[-n:], kinds, strict=True)):
+            for j, (t, k) in enumerate(zip(b.terms[len(b.terms) - n :], kinds, strict=True)):
                 s = s.bind(t, F.col(f"_o.o{j}"), k)
             s = Solutions(s.df.drop("_o"), s.kinds)
             exact = False

@@ -5,17 +5,22 @@ A program's goal predicate becomes a frame whose columns are cast and named as t
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.builtins import MULTI, VALUES
 from .operators import matchers
 from .operators.fixpoint import Program
-from .operators.relational import select
+from .operators.relational import insert, select, statement
 from .operators.rules import Functions
-from .sources.database import Database, from_tuples
-from .sources.jsonl import merged
+from .session import Session
+from .sources.config import term_names
+from .sources.database import Database, from_frame
+from .sources.jsonl import encode, load, merged
 from .sources.mapping import run_program
+from .sources.storage import shared_dir
 
 JSON_COLUMNS = {"events": ("props",)}
 QUERIES: dict = {}
@@ -77,8 +82,8 @@ program("q33_contains", "part", 'goal(K, N) :- part(K, N, _, _, _, _), @contains
 program("q34_starts_with", "pages", 'goal(P, U) :- pages(P, U, _), @starts_with(U, "https://").', "p bigint, u string", "SELECT CAST(page_id AS BIGINT) p, url u FROM pages WHERE starts_with(url, 'https://')")
 program("q35_ends_with", "pages", 'goal(P, U) :- pages(P, U, _), @ends_with(U, "1").', "p bigint, u string", "SELECT CAST(page_id AS BIGINT) p, url u FROM pages WHERE ends_with(url, '1')")
 program("q36_regex_match", "documents", 'goal(D) :- documents(D, T, _, _, _), @regex_match(T, "[0-9]{3}-[0-9]{4}").', "d bigint", "SELECT CAST(doc_id AS BIGINT) d FROM documents WHERE regexp_matches(text, '[0-9]{3}-[0-9]{4}')")
-EDGES = "edge(X, Y) :- part(X, _, _, _, _, _), X mod 40 != 0, Y is X + 1, part(Y, _, _, _, _, _). "
-EDGE_SQL = "edge AS (SELECT a.p_partkey::BIGINT x, b.p_partkey::BIGINT y FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_partkey % 40 <> 0)"
+EDGES = "edge(X, Y) :- part(X, _, _, _, S, _), S > 1, Y is X + 1, part(Y, _, _, _, _, _). "
+EDGE_SQL = "edge AS (SELECT a.p_partkey::BIGINT x, b.p_partkey::BIGINT y FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_size > 1)"
 program("q37_linear_recursion", "part", EDGES + "goal(X, Y) :- edge(X, Y). goal(X, Y) :- goal(X, Z), edge(Z, Y).", "x bigint, y bigint", f"WITH RECURSIVE {EDGE_SQL}, r AS (SELECT x, y FROM edge UNION SELECT r.x, edge.y FROM r JOIN edge ON r.y = edge.x) SELECT x, y FROM r")
 RING = "next(A, B) :- nation(A, _, _), B is (A * 3 + 1) mod 25. next(A, B) :- nation(A, _, R), nation(B, _, R), B is A + 5. "
 RING_SQL = "nxt AS (SELECT n_nationkey::BIGINT a, CAST((n_nationkey * 3 + 1) % 25 AS BIGINT) b FROM nation UNION SELECT p.n_nationkey::BIGINT, q.n_nationkey::BIGINT FROM nation p JOIN nation q ON p.n_regionkey = q.n_regionkey AND q.n_nationkey = p.n_nationkey + 5)"
@@ -95,13 +100,22 @@ program("q45_json_get", "events", 'goal(E, K) :- events(E, _, _, _, _, P), @json
 program("q46_object_pattern", "events", "goal(E, K) :- events(E, _, _, _, _, {k: K}), K > 50.", "e bigint, k bigint", "SELECT DISTINCT event_id::BIGINT e, CAST(json_extract(props, '$.k') AS BIGINT) k FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) > 50")
 program("q47_json_len_type", "events", "goal(E, T, N) :- events(E, _, _, _, _, P), @json_type(P, T), @json_len(P, N).", "e bigint, t string, n bigint", "SELECT DISTINCT event_id::BIGINT e, lower(json_type(props)) t, CAST(len(json_keys(props)) AS BIGINT) n FROM events")
 program("q48_json_items", "events", "goal(E, K, V) :- events(E, _, _, _, _, P), @json_items(P, K, V).", "e bigint, k string, v string", "SELECT DISTINCT event_id::BIGINT e, 'k' k, CAST(json_extract(props, '$.k') AS VARCHAR) v FROM events")
-program("q49_json_each", "region", 'list(A, L) :- holder({a: A, l: L}). goal(A, E) :- list(A, L), @json_each(L, E).', "a bigint, e bigint", "SELECT * FROM (VALUES (1::BIGINT, 10::BIGINT), (1, 20), (2, 30)) t(a, e)", before=lambda db: db.extend({("holder", 1): from_tuples(db.spark, [({"a": 1, "l": [10, 20, 20]},), ({"a": 2, "l": [30]},), ({"a": 3, "l": []},)])}))
-program("q50_list_recursion", "region", "walk(L) :- start(L). walk(T) :- walk([_ | T]). goal(H) :- walk([H | _]).", "h bigint", "SELECT * FROM (VALUES (1::BIGINT), (2), (3)) t(h)", before=lambda db: db.extend({("start", 1): from_tuples(db.spark, [([1, 2, 3],)])}))
+program("q49_json_each", "embeddings", "goal(V, N) :- N = count : embeddings(V, L, _), @json_each(L, _).", "v bigint, n bigint", "SELECT vec_id::BIGINT v, len(embedding)::BIGINT n FROM embeddings WHERE len(embedding) > 0")
+
+
+def nation_lists(db: Database) -> Database:
+    """start(region, list of its nations' keys)."""
+    nation = db.relations["nation", 3].df
+    lists = nation.groupBy(F.col("c2").alias("region")).agg(F.array_sort(F.collect_list("c0")).alias("keys"))
+    return db.extend({("start", 2): from_frame(lists)})
+
+
+program("q50_list_recursion", "nation", "walk(R, L) :- start(R, L). walk(R, T) :- walk(R, [_ | T]). goal(R, H) :- walk(R, [H | _]).", "r bigint, h bigint", "SELECT n_regionkey::BIGINT r, n_nationkey::BIGINT h FROM nation", before=nation_lists)
 program("q51_time_diff", "events", 'at(U, T) :- events(_, T, U, "purchase", V, _), V > 100. goal(U, D) :- at(U, A), at(U, B), @time_diff(B, A, D), D > 0, D < 86400.', "u bigint, d double", "SELECT DISTINCT a.user_id::BIGINT u, (epoch_us(b.ts) - epoch_us(a.ts)) / 1000000.0::DOUBLE d FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'purchase' AND b.event_type = 'purchase' AND a.value > 100 AND b.value > 100 WHERE epoch_us(b.ts) > epoch_us(a.ts) AND epoch_us(b.ts) - epoch_us(a.ts) < 86400000000")
 OWN = Functions(VALUES | {"@length": (2, lambda t: (F.length(t[0]).cast("bigint"), "integer"))}, MULTI | {"@words": (1, lambda t: (F.transform(F.split(t[0], " "), lambda w: F.struct(w.alias("o0"))), ["string"]))})
 program("q52_user_builtin", "documents", "goal(D, N) :- documents(D, T, _, _, _), @length(T, N).", "d bigint, n bigint", "SELECT doc_id::BIGINT d, length(text)::BIGINT n FROM documents", OWN)
 program("q53_multi_builtin", "documents", "goal(L, N) :- N = count : documents(_, T, L, _, _), @words(T, _).", "l string, n bigint", "SELECT lang l, CAST(sum(len(string_split(text, ' '))) AS BIGINT) n FROM documents GROUP BY 1", OWN)
-program("q61_ownership_cycle", "customer orders", "own(N, C) :- customer(C, _, N, _, _). moved(A, B) :- customer(A, _, _, _, _), B is (A * 7 + 3) mod 150, customer(B, _, _, _, _). goal(N, A, B) :- own(N, A), moved(A, M), own(O, M), moved(M, B), own(N, B), O != N.", "n bigint, a bigint, b bigint", "WITH moved AS (SELECT x.c_custkey a, y.c_custkey b FROM customer x JOIN customer y ON y.c_custkey = (x.c_custkey * 7 + 3) % 150) SELECT DISTINCT p.c_nationkey::BIGINT n, p.c_custkey::BIGINT a, r.c_custkey::BIGINT b FROM customer p JOIN moved m1 ON m1.a = p.c_custkey JOIN customer q ON q.c_custkey = m1.b JOIN moved m2 ON m2.a = q.c_custkey JOIN customer r ON r.c_custkey = m2.b AND r.c_nationkey = p.c_nationkey WHERE q.c_nationkey <> p.c_nationkey")
+program("q61_ownership_cycle", "customer orders", "own(N, C) :- customer(C, _, N, _, _). total(T) :- T = count : customer(_, _, _, _, _). moved(A, B) :- total(T), customer(A, _, _, _, _), B is (A * 7 + 3) mod T, customer(B, _, _, _, _). goal(N, A, B) :- own(N, A), moved(A, M), own(O, M), moved(M, B), own(N, B), O != N.", "n bigint, a bigint, b bigint", "WITH moved AS (SELECT x.c_custkey a, y.c_custkey b FROM customer x JOIN customer y ON y.c_custkey = (x.c_custkey * 7 + 3) % (SELECT count(*) FROM customer)) SELECT DISTINCT p.c_nationkey::BIGINT n, p.c_custkey::BIGINT a, r.c_custkey::BIGINT b FROM customer p JOIN moved m1 ON m1.a = p.c_custkey JOIN customer q ON q.c_custkey = m1.b JOIN moved m2 ON m2.a = q.c_custkey JOIN customer r ON r.c_custkey = m2.b AND r.c_nationkey = p.c_nationkey WHERE q.c_nationkey <> p.c_nationkey")
 program("q62_taint", "part events", EDGES + 'goal(X) :- events(_, _, X, "error", V, _), V > 120. goal(Y) :- goal(X), edge(X, Y).', "x bigint", f"WITH RECURSIVE {EDGE_SQL}, r AS (SELECT DISTINCT user_id::BIGINT x FROM events WHERE event_type = 'error' AND value > 120 UNION SELECT edge.y FROM r JOIN edge ON r.x = edge.x) SELECT x FROM r")
 
 
@@ -218,3 +232,94 @@ WITH RECURSIVE hot AS (SELECT DISTINCT user_id u, CAST(json_extract(props, '$.k'
 suspect AS (SELECT user_id u FROM events WHERE event_type = 'error' AND user_id IN (SELECT u FROM hot) GROUP BY 1 HAVING count(*) > 4),
 link AS (SELECT DISTINCT x.u::BIGINT a, y.u::BIGINT b FROM hot x JOIN hot y ON x.k = y.k AND x.u <> y.u WHERE x.u IN (SELECT u FROM suspect) AND NOT EXISTS (SELECT 1 FROM events WHERE user_id = y.u AND event_type = 'purchase' AND value > 400)),
 r AS (SELECT a, b FROM link UNION SELECT r.a, link.b FROM r JOIN link ON r.b = link.a) SELECT a, b FROM r""")
+
+# Forms that the queries above leave out.
+program("q68_seeded_closure", "nation", RING + "goal(100, 3). goal(X, Y) :- next(X, Y). goal(X, Y) :- goal(X, Z), next(Z, Y).", "a bigint, b bigint", f"WITH RECURSIVE {RING_SQL}, r AS ((SELECT a, b FROM nxt UNION SELECT 100::BIGINT, 3::BIGINT) UNION SELECT r.a, nxt.b FROM r JOIN nxt ON r.b = nxt.a) SELECT a, b FROM r")
+program("q69_repeated_variable", "lineitem", "goal(O, N) :- lineitem(O, _, N, N, _, _, _, _, _, _, _).", "o bigint, n bigint", "SELECT DISTINCT l_orderkey::BIGINT o, l_suppkey::BIGINT n FROM lineitem WHERE l_suppkey = l_linenumber")
+program("q70_empty_negation", "region customer", "rich(C) :- customer(C, _, _, B, _), B > 99999999. goal(N) :- region(_, N), not rich(_).", "n string", "SELECT r_name n FROM region WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_acctbal > 99999999)")
+program("q71_membership", "customer orders", 'vip(C) :- customer(C, _, _, B, _), B > 9000. goal(O) :- orders(O, C, "F", _, _, _), vip(C).', "o bigint", "SELECT DISTINCT o_orderkey::BIGINT o FROM orders WHERE o_orderstatus = 'F' AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 9000)")
+program("q72_precedence", "nation", "goal(K, X, Y) :- nation(K, _, R), X is -K + R * 2 - (3 - K), Y is -(K - R) mod 4.", "k bigint, x bigint, y bigint", "SELECT n_nationkey::BIGINT k, (-n_nationkey + n_regionkey * 2 - (3 - n_nationkey))::BIGINT x, (-(n_nationkey - n_regionkey) % 4)::BIGINT y FROM nation")
+program("q73_is_on_bound", "nation", "goal(K, Y) :- nation(K, _, R), K is R * 5, Y is R.", "k bigint, y bigint", "SELECT n_nationkey::BIGINT k, n_regionkey::BIGINT y FROM nation WHERE n_nationkey = n_regionkey * 5")
+program("q74_mixed_numbers", "supplier nation", "odd(X) :- nation(_, N, _), X is N + 1. goal(K, X) :- supplier(K, _, N, _), X is N / 2.0, not odd(_).", "k bigint, x double", "SELECT s_suppkey::BIGINT k, s_nationkey / 2.0::DOUBLE x FROM supplier")
+program("q75_extreme_of_json", "events", "goal(T, H, L) :- hi(T, H), lo(T, L). hi(T, M) :- M = max(K) : events(_, _, _, T, _, {k: K}). lo(T, M) :- M = min(K) : events(_, _, _, T, _, {k: K}).", "t string, h bigint, l bigint", "SELECT event_type t, max(CAST(json_extract(props, '$.k') AS BIGINT)) h, min(CAST(json_extract(props, '$.k') AS BIGINT)) l FROM events GROUP BY 1")
+program("q76_constant_sum", "events", "goal(T, N) :- N = sum(2) : events(_, _, _, T, _, _).", "t string, n bigint", "SELECT event_type t, (2 * count(*))::BIGINT n FROM events GROUP BY 1")
+matcher("q77_matcher_many", "pages", "url", "starts_with", ["https://a", "https://b", "https://s", "http://", "https://w", "ftp"], "starts_with(url, pattern)")
+matcher("q78_matcher_many_ci", "documents", "text", "contains", ["IDIOT", "Moron", "scum", "c++", "a.b", "the ("], "contains(lower(text), lower(pattern))", case_insensitive=True)
+
+
+def q79_pattern_query(spark, sf_dir):
+    return Database.tables(spark, sf_dir, names=["nation"]).query("nation", None, None, 1).select(F.col("c0").alias("k"), F.col("c1").alias("n"))
+
+
+def q80_fact_counts(spark, sf_dir):
+    db = Database.tables(spark, sf_dir, names=["region", "nation", "customer"])
+    return spark.createDataFrame([(n, a, c) for (n, a), c in db.counts().items()], "name string, arity bigint, facts bigint")
+
+
+def q81_predicates(spark, sf_dir):
+    listed = Session(Database.tables(spark, sf_dir, names=["region", "nation"]), "%% where nations lie\nin(N, R) :- nation(_, N, K), region(K, R).").predicates()
+    return spark.createDataFrame([(p["name"], p["arity"], p["count"], p["doc"]) for p in listed], "name string, arity bigint, facts bigint, doc string")
+
+
+def q82_json_lines(spark, sf_dir):
+    """Nations as compressed JSON lines, read back by a mapping with a filter."""
+    path = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "nation").select(F.to_json(F.struct("*")).alias("value")).write.option("compression", "gzip").text(path)
+    config = {"sources": [{"file": path, "mappings": [{"predicate": "n", "args": ["value.n_nationkey", "value.n_name"], "filter": "value.n_regionkey != 1"}]}]}
+    facts = load(spark, config).facts("n", 2)
+    return facts.select(F.col("c0").cast("bigint").alias("k"), F.from_json(F.concat(F.lit("["), "c1", F.lit("]")), "array<string>")[0].alias("n"))
+
+
+def q83_encoder(spark, sf_dir):
+    declared = [{"name": "nation", "terms": [{"name": "id"}, {"name": "name"}, {"name": "region"}]}]
+    rel = Database.tables(spark, sf_dir, names=["nation"]).relations["nation", 3]
+    return encode(rel, "nation", term_names(declared)["nation", 3])
+
+
+def q84_matcher_utf16(spark, sf_dir):
+    coded = table(spark, sf_dir, "nation").select("n_name", F.base64(F.encode("n_name", "UTF-16LE")).alias("coded"))
+    hits = matchers.match(coded, "coded", "base64_utf16le", ["NATION", "A", "_1"])
+    return coded.join(hits, coded.coded == hits.c0).select(F.col("n_name").alias("name"), F.col("c1").alias("pattern"))
+
+
+def q85_explanation(spark, sf_dir):
+    """The premises of one fact: the first nation and its region."""
+    db = Database.tables(spark, sf_dir, names=["region", "nation"])
+    first = db.facts("nation", 3).orderBy("c0").first()
+    found = Session(db, "lies(N, R) :- nation(_, N, K), region(K, R).").explain(f'lies("{first.c1}", "{db.query("region", first.c2, None).first().c1}")')
+    return spark.createDataFrame([(p,) for p in found["premises"]], "premise string")
+
+
+def q86_insert(spark, sf_dir):
+    made = insert("nation", "n_nationkey", "n_name", "n_regionkey").values(3, "renamed", 9).values(1000, "new", 2).values(1000, "again", 3)
+    return made.on_conflict("n_nationkey", update=("n_name",)).frame(spark, {"nation": table(spark, sf_dir, "nation")}).select(F.col("n_nationkey").cast("bigint").alias("k"), F.col("n_name").alias("n"), F.col("n_regionkey").cast("bigint").alias("r"))
+
+
+def q87_raw_statement(spark, sf_dir):
+    tables = {n: table(spark, sf_dir, n) for n in ("nation", "region")}
+    return statement(spark, "SELECT r_name, count(*) AS nations FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey > ? GROUP BY r_name", tables, 4)
+
+
+def q88_offset(spark, sf_dir):
+    return select("nation", "n_name").order_by("n_name").limit(7).offset(5).frame(spark, {"nation": table(spark, sf_dir, "nation")})
+
+
+def q89_session_query(spark, sf_dir):
+    found = Session(Database.tables(spark, sf_dir, names=["nation", "region"]), "lies(N, R) :- nation(_, N, K), region(K, R).").query("lies(N, R), nation(K, N, _), K > 3?", 8)
+    return found.select(F.col("K").alias("k"), F.col("N").alias("n"), F.col("R").alias("r"))
+
+
+QUERIES |= {q.__name__: q for q in (q79_pattern_query, q80_fact_counts, q81_predicates, q82_json_lines, q83_encoder, q84_matcher_utf16, q85_explanation, q86_insert, q87_raw_statement, q88_offset, q89_session_query)}
+SQL |= {
+    "q79_pattern_query": "SELECT n_nationkey::BIGINT k, n_name n FROM nation WHERE n_regionkey = 1",
+    "q80_fact_counts": "SELECT 'region' AS name, 2::BIGINT arity, count(*) facts FROM region UNION ALL SELECT 'nation', 3, count(*) FROM nation UNION ALL SELECT 'customer', 5, count(*) FROM customer",
+    "q81_predicates": "SELECT 'in' AS name, 2::BIGINT arity, count(*) facts, 'where nations lie' AS doc FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'nation', 3, count(*), '' FROM nation UNION ALL SELECT 'region', 2, count(*), '' FROM region",
+    "q82_json_lines": "SELECT n_nationkey::BIGINT k, n_name n FROM nation WHERE n_regionkey <> 1",
+    "q83_encoder": """SELECT concat('{"nation":{"id":', n_nationkey, ',"name":"', n_name, '","region":', n_regionkey, '}}') AS value FROM nation""",
+    "q84_matcher_utf16": "SELECT n_name AS name, pattern FROM nation, (VALUES ('NATION'), ('A'), ('_1')) p(pattern) WHERE contains(n_name, pattern)",
+    "q85_explanation": """WITH f AS (SELECT * FROM nation ORDER BY n_nationkey LIMIT 1) SELECT concat('nation(', n_nationkey, ', "', n_name, '", ', n_regionkey, ')') AS premise FROM f UNION ALL SELECT concat('region(', r_regionkey, ', "', r_name, '")') FROM f JOIN region ON n_regionkey = r_regionkey""",
+    "q86_insert": "SELECT n_nationkey::BIGINT k, CASE WHEN n_nationkey = 3 THEN 'renamed' ELSE n_name END n, n_regionkey::BIGINT r FROM nation UNION ALL SELECT 1000, 'again', 2",
+    "q87_raw_statement": "SELECT r_name, count(*) AS nations FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey > 4 GROUP BY r_name",
+    "q88_offset": "SELECT n_name FROM nation ORDER BY n_name LIMIT 7 OFFSET 5",
+    "q89_session_query": "SELECT n_nationkey::BIGINT k, n_name n, r_name r FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey > 3 ORDER BY k, n, r LIMIT 8",
+}

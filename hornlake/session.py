@@ -8,7 +8,8 @@ from .operators.fixpoint import Program, run_query
 from .operators.provenance import MAX_DEPTH, MAX_NODES, Derivation, Explainer
 from .operators.rules import Functions
 from .plans.language import Atom, parse
-from .sources.database import Database
+from .sources.database import Database, Relation
+from .sources.storage import hold
 
 
 class Session:
@@ -28,7 +29,9 @@ class Session:
 
     def derived(self) -> Database:
         if self.cached is None:
-            self.cached = self.program.transform(self.db) if self.program.rules else self.db
+            made = self.program.transform(self.db) if self.program.rules else self.db
+            new = {k: Relation(hold(r.df)[0], r.kinds) for k, r in made.relations.items() if r is not self.db.relations.get(k)}
+            self.cached = Database(made.spark, made.relations | new)  # evaluated once, not once a query
         return self.cached
 
     def query(self, text: str, limit: int = 100) -> DataFrame:
@@ -36,6 +39,21 @@ class Session:
         found = run_query(self.derived(), text, self.functions)
         return found.orderBy(*found.columns).limit(min(limit, 1000)) if found.columns else found.limit(1)
 
+    def answer(self, text: str, limit: int = 100) -> dict:
+        """{"columns", "rows", "total", "truncated"}: at most min(limit, 1000) solutions in order, and how many there are."""
+        found = run_query(self.derived(), text, self.functions)
+        total, most = found.count(), min(limit, 1000)
+        rows = [tuple(r) for r in self.query(text, limit).collect()]
+        return {"columns": found.columns, "rows": rows, "total": total, "truncated": total > most}
+
+    def render(self, text: str, limit: int = 100) -> str:
+        """The solutions as lines of `name = value`, and a note where there are more."""
+        found = self.answer(text, limit)
+        if not found["columns"]:
+            return "yes" if found["total"] else "no"
+        lines = [", ".join(f"{c} = {v}" for c, v in zip(found["columns"], r, strict=True)) for r in found["rows"]]
+        return "\n".join([*lines, f"... {found['total'] - len(lines)} more"] if found["truncated"] else lines or ["no"])
+
     def predicates(self) -> list[dict]:
         """Name, arity, count and documentation of each relation."""
         docs: dict[str, list[str]] = {}
@@ -45,9 +63,9 @@ class Session:
         return [{"name": n, "arity": a, "count": c, "doc": "\n\n".join(docs.get(n, []))} for (n, a), c in sorted(self.derived().counts().items())]
 
     def describe(self, name: str) -> dict:
-        """The rules that derive and that use a predicate."""
+        """The rules that derive and that use a predicate, and its facts by arity."""
         uses = lambda r: any(isinstance(b, Atom) and b.name == name for b in r.body)
-        return {"derived_by": [str(r) for r in self.program.rules if r.head.name == name], "used_by": [str(r) for r in self.program.rules if uses(r)]}
+        return {"derived_by": [str(r) for r in self.program.rules if r.head.name == name], "used_by": [str(r) for r in self.program.rules if uses(r)], "counts": {a: r.df.count() for (n, a), r in sorted(self.derived().relations.items()) if n == name}}
 
     def dependencies(self, name: str) -> dict[str, list[str]]:
         """Predicates that a predicate reads, directly or not, and those that read it."""
