@@ -173,20 +173,35 @@ class WindowHashes:
         known = self.known
         if len(known) > 500_000:
             known.clear()
-        for w in set(words) - known.keys():
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-    def distinct(self, words: list[str], sizes: set[int]) -> np.ndarray:
-        """Of the windows of WINDOW words (of all, if there are fewer) and of the given lesser sizes."""
-        h, out = self.words(words), []
-        for size in {min(WINDOW, len(words)), *(k for k in sizes if k < len(words))} - {0}:
-            total = np.full(len(h) - size + 1, size, np.uint64)
-            for i in range(size):
-                total = total * _STEP + h[i : len(h) - size + 1 + i]
-            total ^= total >> np.uint64(31)
-            out.append(total * _MIX)
-        return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+        try:
+            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        except KeyError:
+            for w in words:
+                if w not in known:
+                    known[w] = xxhash.xxh3_64_intdigest(w)
+            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+    def both(self, kinds: list[str], plain: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of typed and of plain words; most words are typed as themselves."""
+        h = self.words(plain)
+        at = [i for i, k in enumerate(kinds) if k[0] == "<"]
+        if not at:
+            return h, h
+        marked = h.copy()
+        marked[at] = self.words([kinds[i] for i in at])
+        return marked, h
+
+
+def all_windows(h: np.ndarray, sizes: set[int]):
+    """Hashes of the windows of WINDOW words (of all, if there are fewer) and of the given lesser sizes."""
+    for size in {min(WINDOW, len(h)), *(k for k in sizes if k < len(h))} - {0}:
+        total = h[: len(h) - size + 1] + np.uint64(size)
+        for i in range(1, size):
+            total *= _STEP
+            total += h[i : len(h) - size + 1 + i]
+        total ^= total >> np.uint64(31)
+        total *= _MIX
+        yield total
 
 
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -197,9 +212,9 @@ def _item_windows(batches):
     for batch in batches:
         out = [[], [], [], []]
         for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for form, words in enumerate(typed(text)):
-                found = hashes.distinct(words, set()).view(np.int64).tolist()
-                for column, v in zip(out, ([item] * len(found), [form] * len(found), found, [min(WINDOW, len(words))] * len(found)), strict=True):
+            for form, h in enumerate(hashes.both(*typed(text))):
+                found = np.unique(np.concatenate([*all_windows(h, set()), h[:0]])).view(np.int64).tolist()
+                for column, v in zip(out, ([item] * len(found), [form] * len(found), found, [min(WINDOW, len(h))] * len(found)), strict=True):
                     column += v
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int32()))], ["item", "form", "h", "words"])
 
@@ -208,13 +223,21 @@ def _document_windows(shared):
     def run(batches):
         bits, sizes = shared.value
         hashes = WindowHashes()
+
+        def held(h):
+            """The distinct windows that some item may have."""
+            kept = []
+            for w in all_windows(h, sizes):
+                at = w & np.uint64(BITS - 1)
+                kept.append(w[bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1) == 1])
+            return np.unique(np.concatenate(kept)) if kept else h
+
         for batch in (part for batch in batches for part in chunks(batch, 2)):
             uids, docs, forms, found = [], [], [], []
             for uid, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                for form, words in enumerate(typed(text)):
-                    h = hashes.distinct(words, sizes)
-                    at = h % np.uint64(BITS)
-                    h = h[bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1) == 1]
+                marked, plain = hashes.both(*typed(text))
+                first = held(marked)
+                for form, h in enumerate((first, first if marked is plain else held(plain))):
                     if len(h):
                         uids.append(np.full(len(h), uid)), docs.extend([doc] * len(h))
                         forms.append(np.full(len(h), form, np.int32)), found.append(h.view(np.int64))

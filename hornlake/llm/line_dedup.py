@@ -1,11 +1,12 @@
 r"""Line dedup with a log-template tree of fixed depth.
 
 A line's tokens that hold a digit become <*>.  The tree's first level is the token count, the next are
-its first LEAD tokens; one of them may be the wildcard child, so that a line hangs below LEAD leaves, one
+its first LEAD tokens; one of them is the wildcard child, so that a line hangs below LEAD leaves, one
 for each token left out.  Which leaves a line is in depends on the line alone.
 
-A leaf holds several templates.  A token is constant at its position if lines of min_docs documents of
-the leaf have it there, counting a document once a distinct line; all other tokens are variable fields.
+A leaf holds several templates.  The leading tokens but the one left out are constant, and so is a later token if
+lines of min_docs documents of the leaf have it at its position, counting a document once a distinct line;
+all other tokens are variable fields.
 Lines with the same constants, at least SIMILAR of their tokens, form a generalised template.  Templates,
 masked or generalised, that occur in min_docs documents are dropped from all of them.
 
@@ -15,8 +16,8 @@ HOT_SHARE) meet the lines by broadcast.
 
 Defined cases: null text is empty; blank lines never count as templates and stay; repeated rows are
 one document; a document with no other lines becomes empty or blank; lines of fewer than LEAST_TOKENS are
-not generalised; two fields within the first LEAD tokens are not; a value that min_docs documents of a leaf
-share is a constant, and its lines a template of their own.
+not generalised; two fields within the first LEAD tokens are not; a later value that min_docs documents of a
+leaf share is a constant, and its lines a template of their own.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import forget, id_text, materialize, partitions, row_key
 
-LEAD, SIMILAR = 5, 0.7
+LEAD, SIMILAR = 6, 0.7
 LEAST_TOKENS = 8  # of fewer, one field is too much to tell a template from sentences alike
 HOT_SHARE = 2000
 TEMPLATE = ["n_tokens", "t1", "t2"]
@@ -65,11 +66,15 @@ def generalised(texts: DataFrame, weights: DataFrame, per_doc: DataFrame, min_do
     wanted = held.select("at.uid", F.struct(F.col("at.line_no").alias("line_no"), *TEMPLATE, "docs", "leaves").alias("one")).groupBy("uid").agg(F.collect_list("one").alias("reps"))
     found = texts.join(wanted.hint("shuffle_hash"), "uid").select(F.split("text", "\n").alias("parts"), F.explode("reps").alias("r"))
     bodies = found.select("r.*", masked_line(F.get("parts", F.col("r.line_no"))).alias("masked"))
-    words = bodies.select(*TEMPLATE, "docs", F.explode("leaves").alias("leaf"), F.split("masked", " ").alias("words"))
-    fields = materialize(words.select(*TEMPLATE, "docs", "leaf", F.posexplode("words").alias("pos", "token")).select(*TEMPLATE, "docs", "leaf", F.xxhash64("pos", "token").alias("field")))
+    later = F.slice(F.split("masked", " "), LEAD + 1, F.greatest(F.col("n_tokens") - LEAD, F.lit(0)))
+    cells = materialize(bodies.select(*TEMPLATE, "docs", "leaves", F.transform(later, lambda w, i: F.xxhash64(i, w)).alias("fields")))
+    each = cells.select("t1", "docs", F.explode("leaves").alias("leaf"), "fields")
+    fields = each.select("leaf", "t1", "docs", F.explode("fields").alias("field"))
     constant = fields.groupBy("leaf", "field").agg(F.sum("docs").alias("held")).where(F.col("held") >= min_docs).select("leaf", "field")
-    kinds = fields.join(constant, ["leaf", "field"]).groupBy("leaf", *TEMPLATE).agg(F.first("docs").alias("docs"), F.count(F.lit(1)).alias("same"), F.bit_xor("field").alias("constants"))
-    kinds = materialize(kinds.where(F.col("same") >= SIMILAR * F.col("n_tokens")).drop("same"))
+    same = fields.select("leaf", "t1", "field").join(constant, ["leaf", "field"]).groupBy("leaf", "t1").agg(F.count(F.lit(1)).alias("same"), F.bit_xor("field").alias("constants"))
+    kinds = cells.select(*TEMPLATE, "docs", F.explode("leaves").alias("leaf")).join(same, ["leaf", "t1"])
+    kinds = materialize(kinds.where(F.col("same") + (LEAD - 1) >= SIMILAR * F.col("n_tokens")).select(*TEMPLATE, "docs", "leaf", "constants"))
+    forget(cells)
     groups = kinds.groupBy("leaf", "constants").agg(F.max("docs").alias("most"), F.sum("docs").alias("all")).where((F.col("all") >= min_docs))
     rare = materialize(kinds.where(F.col("docs") < min_docs).join(groups, ["leaf", "constants"]))
     sure = rare.where(F.col("most") >= min_docs)

@@ -77,11 +77,10 @@ class WordIds:
         """
         if len(self.known) > GENERATION:
             self.known, self.older = {}, self.known
-        fresh = words - self.known.keys()
+        fresh = [w for w in words if w not in self.known]
         if self.older:
-            back = fresh & self.older.keys()
-            self.known.update((w, self.older[w]) for w in back)
-            fresh -= back
+            self.known.update((w, self.older[w]) for w in fresh if w in self.older)
+            fresh = [w for w in fresh if w not in self.known]
         self.known.update((w, np.array(self.ids(w), np.uint32).tobytes()) for w in fresh if not w.isascii() or w in self.special)
         fresh = [w for w in fresh if w.isascii() and w not in self.special]
         groups = [fresh[i : i + 50] for i in range(0, len(fresh), 50)]

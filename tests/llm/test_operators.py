@@ -288,11 +288,11 @@ def brute_lines(rows, min_docs=3):
     for lines in leaves.values():
         held = collections.Counter()
         for line in lines:
-            held.update({f: len(holders[line]) for f in enumerate(line.split(" "))})
+            held.update({f: len(holders[line]) for f in list(enumerate(line.split(" ")))[line_dedup.LEAD :]})
         groups = collections.defaultdict(list)
         for line in lines:
-            same = tuple(f for f in enumerate(line.split(" ")) if held[f] >= min_docs)
-            if len(same) >= line_dedup.SIMILAR * len(line.split(" ")):
+            same = tuple(f for f in list(enumerate(line.split(" ")))[line_dedup.LEAD :] if held[f] >= min_docs)
+            if same and len(same) + line_dedup.LEAD - 1 >= line_dedup.SIMILAR * len(line.split(" ")):
                 groups[same].append(line)
         for group in groups.values():
             if len(set().union(*(holders[line] for line in group))) >= min_docs:
