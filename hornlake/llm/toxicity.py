@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import chunks, id_text, materialize, row_key, without
 
-SAMPLE, BLOCK, NEIGHBOURS = 1500, 64, 25
-FAINT, STRONG, LONG, FIRST_BLOCKS = 0.05, 10.0, 24, 4
+SAMPLE, BLOCK, NEIGHBOURS = 1000, 64, 25
+FAINT, STRONG, LONG, FIRST_BLOCKS = 0.05, 10.0, 200, 4
 FOLDS = 5
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -96,7 +96,7 @@ class BlockMaxIndex:
     def __init__(self, examples, n_terms: int):
         entries: dict[tuple, list] = {}
         for ids, weights, toxic, weight, doc in examples:
-            e = entries.setdefault((tuple(ids), tuple(np.round(weights, 9))), [0, 0.0, 0.0, [], ids, weights])
+            e = entries.setdefault(self.key(ids, weights), [0, 0.0, 0.0, [], ids, weights])
             e[0] += 1
             e[1 + toxic] += weight
             e[3] = e[3][:3] if len(e[3]) >= 3 else [*e[3], (doc, toxic)]
@@ -119,6 +119,10 @@ class BlockMaxIndex:
             self.dense[at // BLOCK, self.row[t], at % BLOCK] = self.values[self.starts[t] : self.starts[t + 1]]
         self.most = self.dense.max(axis=2)
 
+    @staticmethod
+    def key(ids: np.ndarray, weights: np.ndarray) -> tuple[bytes, bytes]:
+        return ids.tobytes(), np.round(weights, 9).tobytes()
+
     def nearest(self, ids, weights, k: int, without: int | None = None) -> list[tuple[float, int, float]]:
         """(cosine, entry, share of the entry's rows that count) of the exact k nearest rows.
 
@@ -144,7 +148,7 @@ class BlockMaxIndex:
         least = -1.0
         for some in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
             some = some[bound[some] >= least - 1e-12]
-            scores[some] += strong @ self.dense[some][:, rows] if len(rows) else 0.0
+            scores[some] += strong @ self.dense[some[:, None], rows] if len(rows) else 0.0
             opened = np.concatenate([opened, (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()])
             flat = np.round(scores.ravel()[opened], 12)
             best = opened[np.lexsort((opened, -flat))]
@@ -226,7 +230,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     index = BlockMaxIndex(examples, len(terms))
     raw, known = [], {}
     for ids, weights, toxic, part, _ in examples:
-        key = (index.number[tuple(ids), tuple(np.round(weights, 9))], toxic, part)
+        key = (index.number[index.key(ids, weights)], toxic, part)
         if key not in known:
             known[key] = index.vote(ids, weights, NEIGHBOURS, key)[0]
         raw.append(known[key])
