@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checked, chunks, components, forget, id_text, materialize, row_key
+from .common import checked, chunks, components, forget, id_text, materialize, row_key, without
 
 SEED = 42
-SHINGLE, HEADS = 5, 3  # the similarity is 4/5
+SHINGLE, HEADS, CROWD, BEFORE = 5, 3, 16, 32  # the similarity is 4/5
 SAMPLED, COMMON = 5000, 200_000  # documents to sample at least, shingles that come last in prefixes
 
 
@@ -71,6 +71,8 @@ def masks(bits: int, most: int) -> list[int]:
 
 def ball_links(prints: DataFrame, bits: int, radius: int) -> DataFrame:
     """Links (a, b) among distinct numbers `fp` that connect all pairs within an even radius."""
+    if radius % 2:
+        raise ValueError("the radius must be even: half of it on either side")
     shifts = F.array(*[F.lit(m) for m in masks(bits, (radius + 1) // 2)])
     spread = prints.select("fp", F.explode(shifts).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
     least = spread.withColumn("a", F.min("fp").over(Window.partitionBy("variant"))).where("a <> fp").select("a", F.col("fp").alias("b"))
@@ -172,26 +174,73 @@ def verified(rows: DataFrame, held: DataFrame, pairs: DataFrame) -> DataFrame:
     return found
 
 
+def nearest_fits(known: DataFrame) -> DataFrame:
+    """Members (bucket, uid, size, solid, ...) that could be similar to their bucket's smallest other one.
+
+    solid: a bound on the shingles that a text shares with any other; texts share at most the lesser of theirs.
+    """
+    least = known.groupBy("bucket").agg(F.min(F.struct("size", "uid")).alias("one"))
+    second = known.join(least, "bucket").where("uid <> one.uid").groupBy("bucket").agg(F.first("one").alias("one"), F.min("size").alias("two"))
+    nearest = F.when(F.col("uid") == F.col("one.uid"), F.col("two")).otherwise(F.col("one.size"))
+    return known.join(second, "bucket").where(9 * F.col("solid") >= 4 * (F.col("size") + F.greatest(nearest, F.expr("size - size div 5")))).select(*known.columns)
+
+
+def sharper(rows: DataFrame, left: DataFrame) -> DataFrame:
+    """(bucket, uid, size, component, solid, before): members of crowded buckets in buckets anew.
+
+    Only shingles that two texts of left hold can be shared, and a partner shares at least 4/5 of the text's
+    size.  So of those shingles, the ones that fewest texts of left hold first, the first solid - ceil(0.8 size) + 1
+    are the prefix; a text with fewer than ceil(0.8 size) has no partner.
+    before: up to BEFORE of the prefix ahead of the bucket's shingle, so that a pair is met where it first meets.
+    """
+    ids = materialize(left.select("uid", "size", "component").distinct())
+    words = rows.join(checked(ids.select("uid")), "uid", "left_semi").mapInArrow(_shingle_sets, "uid bigint, words array<bigint>").dropDuplicates(["uid"])
+    words = materialize(words)
+    each = words.select("uid", F.explode("words").alias("w"))
+    again = materialize(each.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))  # so that a hot shingle's join can be split
+    lists = each.join(again, "w").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("held"))
+    known = lists.join(ids, "uid").withColumn("solid", F.size("held"))
+    known = known.withColumn("prefix", F.expr("transform(slice(held, 1, greatest(0, solid - (size - size div 5) + 1)), x -> x.w)"))
+    places = F.transform("prefix", lambda w, i: F.struct(w.alias("bucket"), F.slice("prefix", F.lit(1), F.least(i, F.lit(BEFORE))).alias("before")))
+    known = materialize(known.select("uid", "size", "component", "solid", F.inline(places)).select("bucket", "uid", "size", "component", "solid", "before"))
+    found = materialize(nearest_fits(known))
+    for done in (ids, words, again, known):
+        forget(done)
+    return found
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(uid, component) of documents with a near duplicate; uid is row_key() of (doc_id, text).
 
-    Components are those of all pairs of a similarity of 0.8.  In each bucket the member of the greatest
-    score meets all that are not yet linked to it, and leaves; after HEADS rounds the rest meet in pairs.
+    Components are those of all pairs of a similarity of 0.8.  In each bucket one member meets all that are
+    not yet linked to it, and leaves: that of the greatest score, in every other turn the smallest.
+    After HEADS turns the members of buckets of up to CROWD meet in pairs; those of larger ones do in sharper
+    buckets, where that could still make a link (see nearest_fits).
     Buckets within one component are done, so a large group of copies costs its size, not its square.
     """
     rows = id_text(docs).select(row_key().alias("uid"), F.col("text").cast("binary").alias("text"))
     left, held = buckets(rows)
     left = left.withColumn("component", F.col("uid"))
     edges = labels = None
+    apart = "uid <> head AND component <> head_component AND 5 * least(size, head_size) >= 4 * greatest(size, head_size)"
     for turn in range(HEADS + 1):
         if turn < HEADS:
-            heads = left.groupBy("bucket").agg(F.max(F.struct("score", "uid", "size", "component")).alias("h"))
+            rank = F.struct("score", "uid", "size", "component") if turn % 2 == 0 else F.struct((-F.col("size")).alias("rank"), "uid", "size", "component")
+            heads = left.groupBy("bucket").agg(F.max(rank).alias("h"))
             heads = heads.select("bucket", F.col("h.uid").alias("head"), F.col("h.size").alias("head_size"), F.col("h.component").alias("head_component"))
+            met = left.join(heads, "bucket").where(apart)
         else:
-            heads = left.select("bucket", F.col("uid").alias("head"), F.col("size").alias("head_size"), F.col("component").alias("head_component"))
-        met = left.join(heads, "bucket").where("uid <> head AND component <> head_component AND 5 * least(size, head_size) >= 4 * greatest(size, head_size)")
+            bound = held.select("uid", (F.expr("size - size div 5 - 1") + F.size("held")).cast("int").alias("solid"))
+            left = left.join(bound, "uid")
+            crowds = left.groupBy("bucket").count().where(F.col("count") > CROWD).select("bucket")
+            few = left.join(crowds, "bucket", "left_anti").select("bucket", "uid", "size", "component", "solid").withColumn("before", F.array().cast("array<bigint>"))
+            crowded = materialize(nearest_fits(left.join(crowds, "bucket", "left_semi")))
+            left = few.unionByName(sharper(rows, crowded))
+            heads = left.select("bucket", F.col("uid").alias("head"), F.col("size").alias("head_size"), F.col("component").alias("head_component"), F.col("solid").alias("head_solid"), F.col("before").alias("head_before"))
+            met = left.join(heads, "bucket").where(apart + " AND uid < head AND 9 * least(solid, head_solid) >= 4 * (size + head_size) AND NOT arrays_overlap(before, head_before)")
         pairs = materialize(met.select(F.least("uid", "head").alias("a"), F.greatest("uid", "head").alias("b")).distinct())
         found = verified(rows, held, pairs)
+        forget(pairs)
         edges = found if edges is None else edges.unionByName(found)
         labels = components(edges)
         if turn < HEADS:
@@ -199,16 +248,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             left = left.join(labels.select(F.col("id").alias("uid"), "component"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
             mixed = left.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
             left = materialize(left.join(mixed, "bucket", "left_semi"))
-            if not left.limit(1).count():
+            if left.isEmpty():
                 break
     return labels.withColumnRenamed("id", "uid")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs, all columns, without all but one document (the least row key) of each group."""
-    spare = checked(near_duplicates(docs).where("uid <> component").select(F.col("uid").alias("_uid")))
-    body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumn("_uid", F.xxhash64(F.col("doc_id").cast("bigint"), body)).join(spare, "_uid", "left_anti").drop("_uid")
+    """docs, all columns as they are, with only one document of each group: that of the least doc_id.
+
+    Null ids come last; rows that repeat the one that stays stay with it.
+    """
+    ids = id_text(docs).select("doc_id", row_key().alias("uid")).distinct()
+    grouped = materialize(ids.join(near_duplicates(docs), "uid"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
+    best = grouped.groupBy("component").agg(F.min(order).alias("best")).select("component", "best.uid")
+    return without(docs, grouped.join(best, ["component", "uid"], "left_anti").select("doc_id", "uid"))
 
 
 def op7_simhash(spark, sf_dir):
