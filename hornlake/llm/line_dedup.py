@@ -120,4 +120,19 @@ def op8_line_dedup(spark, sf_dir):
 
 
 QUERIES = {"op8_line_dedup": op8_line_dedup}
-SQL = {}
+SQL = {
+    "op8_line_dedup": r"""
+WITH u AS (SELECT row_number() OVER () AS uid, doc_id, t, copies FROM (SELECT doc_id, coalesce(text, '') AS t, count(*) AS copies FROM documents GROUP BY ALL)),
+lines AS (SELECT uid, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS line_no FROM u),
+masked AS (SELECT uid, line_no, line, array_to_string(list_transform(string_split(trim(regexp_replace(line, '[ \t\r\f]+', ' ', 'g')), ' '), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END), ' ') AS m FROM lines),
+held AS (SELECT m, count(DISTINCT uid) AS docs, string_split(m, ' ') AS ws FROM masked WHERE m <> '' GROUP BY m),
+leaves AS (SELECT m, docs, ws, len(ws) AS n, o, array_to_string(list_transform(range(1, 7), lambda i: CASE WHEN i = o THEN '' ELSE ws[i] END), ' ') AS lead FROM held, (SELECT unnest(range(1, 7)) AS o) WHERE len(ws) >= 8),
+fields AS (SELECT m, docs, n, o, lead, ws, unnest(range(7, n + 1)) AS pos FROM leaves),
+constants AS (SELECT n, o, lead, pos, ws[pos] AS word FROM fields GROUP BY ALL HAVING sum(docs) >= 3),
+kinds AS (SELECT f.n, f.o, f.lead, f.m, string_agg(f.pos || ':' || c.word, ' ' ORDER BY f.pos) AS same FROM fields f JOIN constants c ON f.n = c.n AND f.o = c.o AND f.lead = c.lead AND f.pos = c.pos AND f.ws[f.pos] = c.word
+          GROUP BY f.n, f.o, f.lead, f.m HAVING count(*) + 5 >= 0.7::DOUBLE * f.n),
+groups AS (SELECT n, o, lead, same FROM kinds JOIN (SELECT DISTINCT uid, m FROM masked) USING (m) GROUP BY ALL HAVING count(DISTINCT uid) >= 3),
+gone AS (SELECT m FROM held WHERE docs >= 3 UNION SELECT m FROM kinds JOIN groups USING (n, o, lead, same)),
+kept AS (SELECT uid, count(*) AS n_lines, count(gone.m) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE gone.m IS NULL), '') AS body FROM masked LEFT JOIN gone USING (m) GROUP BY uid)
+SELECT doc_id, n_lines, n_dropped, strlen(body)::BIGINT AS kept_bytes, sha256(body) AS kept_sha256 FROM u JOIN kept USING (uid), range(copies)"""
+}

@@ -86,4 +86,21 @@ def op10_secret_scan(spark, sf_dir):
 
 
 QUERIES = {"op10_secret_scan": op10_secret_scan}
-SQL = {}
+def _sql() -> str:
+    """Gaps and matches of each pattern in turn give the positions, as in `spans`."""
+    plain = [(k, p.replace("}+", "}"), least) for k, p, least in RULES]
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    parts = []
+    for rank, (kind, pattern, least) in enumerate(plain):
+        passes = f"length(hits[i]) >= {least}" if least else f"length(regexp_extract(hits[i], {quote(ASSIGN_VALUE)}, 1)) >= 6"
+        place = "list_sum(list_transform(gaps[1:i], lambda g: length(g)))::BIGINT + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0)::BIGINT"
+        parts.append(f"SELECT rid, {rank} AS k, '{kind}' AS kind, {place} AS s, {place} + length(hits[i]) AS e FROM (SELECT rid, hits, gaps, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT rid, regexp_extract_all(t, {quote(pattern)}) AS hits, string_split_regex(t, {quote(pattern)}) AS gaps FROM d)) WHERE {passes}")
+    counts = ", ".join(f"count(*) FILTER (WHERE k = {i}) AS n_{kind}" for i, (kind, _, _) in enumerate(plain))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({' UNION ALL '.join(parts)}),
+summed AS (SELECT rid, {counts}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans FROM found GROUP BY rid)
+SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k, _, _ in plain)}, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN summed USING (rid)"""
+
+
+SQL = {"op10_secret_scan": _sql()}

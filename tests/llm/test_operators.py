@@ -9,6 +9,7 @@ import zlib
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from hornlake.llm import decontaminate, exact_dedup, line_dedup, packing, pretokens, secret_scan, sharding, simhash, suffix_dedup, token_counts, toxicity
 
@@ -76,6 +77,24 @@ def test_sharding(docs, empty, plain):
     assert sharding.shard(empty, 7).count() == 0
 
 
+def jump(key, shards):
+    """The published recurrence, with this module's stream."""
+    state, b, j = xxhash.xxh64_intdigest(struct.pack("<Q", key), 42), -1, 0
+    while j < shards:
+        b = j
+        draw = ((state >> 33) + 1) / float(1 << 31)
+        j = int((b + 1) / draw)
+        state = xxhash.xxh64_intdigest(struct.pack("<Q", state), 42)
+    return b
+
+
+@pytest.mark.parametrize("shards", [1, 7, 40, 41])
+def test_jump_row_by_row(spark, shards):
+    keys = [*range(-3, 400), 2**62, -(2**63)]
+    got = spark.createDataFrame([(k,) for k in keys], "k bigint").select("k", sharding.jump_shard(F.col("k"), shards).alias("s")).collect()
+    assert {r.k: r.s for r in got} == {k: jump(k % 2**64, shards) for k in keys}
+
+
 def test_jump_balance(spark):
     from pyspark.sql import functions as F
 
