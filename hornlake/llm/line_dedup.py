@@ -1,12 +1,12 @@
 r"""Line dedup with a log-template tree of fixed depth.
 
-A line's tokens that hold a digit become <*>.  The tree's first level is the token count, the next are
-its first LEAD tokens; one of them is the wildcard child, so that a line hangs below LEAD leaves, one
-for each token left out.  Which leaves a line is in depends on the line alone.
+A line's tokens that hold a digit become <*>.  The tree's first level is the token count.  Below it a line goes
+by its first LEAD tokens, and also, past a wildcard child at each of these, by the next LEAD: so it hangs at two
+leaves, and lines that differ in a leading token still meet.  Which leaves a line is in depends on the line alone.
 
-A leaf holds several templates.  The leading tokens but the one left out are constant, and so is a later token if
-lines of min_docs documents of the leaf have it at its position, counting a document once a distinct line;
-all other tokens are variable fields.
+A leaf holds several templates.  Its own tokens are constant, and so is another token if lines of
+min_docs documents of the leaf have it at its position, counting a document once a distinct line; all other
+tokens are variable fields.
 Lines with the same constants, at least SIMILAR of their tokens, form a generalised template.  Templates,
 masked or generalised, that occur in min_docs documents are dropped from all of them.
 
@@ -16,8 +16,8 @@ HOT_SHARE) meet the lines by broadcast.
 
 Defined cases: null text is empty; blank lines never count as templates and stay; repeated rows are
 one document; a document with no other lines becomes empty or blank; lines of fewer than LEAST_TOKENS are
-not generalised; two fields within the first LEAD tokens are not; a later value that min_docs documents of a
-leaf share is a constant, and its lines a template of their own.
+not generalised, nor are those with a field in either LEAD tokens; a value that min_docs documents of a leaf
+share is a constant, and its lines a template of their own.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import forget, id_text, materialize, partitions, row_key
 
-LEAD, SIMILAR = 6, 0.7
+LEAD, SIMILAR = 3, 0.7
 LEAST_TOKENS = 8  # of fewer, one field is too much to tell a template from sentences alike
 HOT_SHARE = 2000
 TEMPLATE = ["n_tokens", "t1", "t2"]
@@ -46,11 +46,10 @@ def parsed_lines(docs: DataFrame) -> DataFrame:
     lines = lines.select("doc_id", "uid", "line_no", masked_line(F.col("line")).alias("masked"))
     spaces = F.length("masked") - F.length(F.translate("masked", " ", ""))
     n = F.when(F.col("masked") == "", 0).otherwise(spaces + 1)
-    lead = F.split("masked", " ", LEAD + 1)
-    leaf = lambda out: F.xxhash64("n_tokens", F.lit(out), *[F.get("lead", F.lit(i)) for i in range(LEAD) if i != out])
+    first, both = F.substring_index("masked", " ", LEAD), F.substring_index("masked", " ", 2 * LEAD)
+    leaves = F.array(F.xxhash64(n, F.lit(0), first), F.xxhash64(n, F.lit(1), F.substring_index(both, " ", -LEAD)))
     hashes = F.xxhash64("masked").alias("t1"), F.xxhash64(F.lit(1), "masked").alias("t2")
-    lines = lines.select("doc_id", "uid", "line_no", n.alias("n_tokens"), *hashes, F.when(n >= LEAST_TOKENS, lead).alias("lead"))
-    return lines.select("doc_id", "uid", "line_no", *TEMPLATE, F.when(F.col("lead").isNotNull(), F.array(*map(leaf, range(LEAD)))).alias("leaves"))
+    return lines.select("doc_id", "uid", "line_no", n.alias("n_tokens"), *hashes, F.when(n >= LEAST_TOKENS, leaves).alias("leaves"))
 
 
 def generalised(texts: DataFrame, weights: DataFrame, per_doc: DataFrame, min_docs: int) -> DataFrame:
@@ -59,21 +58,22 @@ def generalised(texts: DataFrame, weights: DataFrame, per_doc: DataFrame, min_do
     texts: (uid, text), dealt by uid.  One representative line per template is read from there.
     weights: (TEMPLATE, docs, at, leaves) per masked template; per_doc: (TEMPLATE, uid).
     """
-    below = weights.where("leaves IS NOT NULL").select(*TEMPLATE, "docs", "at", F.explode("leaves").alias("leaf"))
+    below = weights.where("leaves IS NOT NULL").select(*TEMPLATE, "docs", "at", F.posexplode("leaves").alias("part", "leaf"))
     leaves = below.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs"), F.count(F.lit(1)).alias("kinds"), F.min("docs").alias("rarest"))
     leaves = leaves.where((F.col("leaf_docs") >= min_docs) & (F.col("kinds") > 1) & (F.col("rarest") < min_docs))
-    held = below.join(leaves.select("leaf"), "leaf").groupBy(*TEMPLATE).agg(F.first("docs").alias("docs"), F.first("at").alias("at"), F.collect_set("leaf").alias("leaves"))
+    held = below.join(leaves.select("leaf"), "leaf").groupBy(*TEMPLATE).agg(F.first("docs").alias("docs"), F.first("at").alias("at"), F.collect_set(F.struct("part", "leaf")).alias("leaves"))
     wanted = held.select("at.uid", F.struct(F.col("at.line_no").alias("line_no"), *TEMPLATE, "docs", "leaves").alias("one")).groupBy("uid").agg(F.collect_list("one").alias("reps"))
     found = texts.join(wanted.hint("shuffle_hash"), "uid").select(F.split("text", "\n").alias("parts"), F.explode("reps").alias("r"))
     bodies = found.select("r.*", masked_line(F.get("parts", F.col("r.line_no"))).alias("masked"))
-    later = F.slice(F.split("masked", " "), LEAD + 1, F.greatest(F.col("n_tokens") - LEAD, F.lit(0)))
-    cells = materialize(bodies.select(*TEMPLATE, "docs", "leaves", F.transform(later, lambda w, i: F.xxhash64(i, w)).alias("fields")))
-    each = cells.select("t1", "docs", F.explode("leaves").alias("leaf"), "fields")
-    fields = each.select("leaf", "t1", "docs", F.explode("fields").alias("field"))
+    places = F.transform(F.split("masked", " "), lambda w, i: F.xxhash64(i, w))
+    cells = materialize(bodies.select(*TEMPLATE, "docs", "leaves", places.alias("fields")))
+    rest = F.expr(f"CASE part WHEN 0 THEN slice(fields, {LEAD + 1}, n_tokens) ELSE concat(slice(fields, 1, {LEAD}), slice(fields, {2 * LEAD + 1}, n_tokens)) END")
+    each = cells.select("n_tokens", "t1", "docs", F.inline("leaves"), "fields")
+    fields = each.select("leaf", "t1", "docs", F.explode(rest).alias("field"))
     constant = fields.groupBy("leaf", "field").agg(F.sum("docs").alias("held")).where(F.col("held") >= min_docs).select("leaf", "field")
     same = fields.select("leaf", "t1", "field").join(constant, ["leaf", "field"]).groupBy("leaf", "t1").agg(F.count(F.lit(1)).alias("same"), F.bit_xor("field").alias("constants"))
-    kinds = cells.select(*TEMPLATE, "docs", F.explode("leaves").alias("leaf")).join(same, ["leaf", "t1"])
-    kinds = materialize(kinds.where(F.col("same") + (LEAD - 1) >= SIMILAR * F.col("n_tokens")).select(*TEMPLATE, "docs", "leaf", "constants"))
+    kinds = cells.select(*TEMPLATE, "docs", F.inline("leaves")).join(same, ["leaf", "t1"])
+    kinds = materialize(kinds.where(F.col("same") + LEAD >= SIMILAR * F.col("n_tokens")).select(*TEMPLATE, "docs", "leaf", "constants"))
     forget(cells)
     groups = kinds.groupBy("leaf", "constants").agg(F.max("docs").alias("most"), F.sum("docs").alias("all")).where((F.col("all") >= min_docs))
     rare = materialize(kinds.where(F.col("docs") < min_docs).join(groups, ["leaf", "constants"]))
@@ -126,11 +126,11 @@ WITH u AS (SELECT row_number() OVER () AS uid, doc_id, t, copies FROM (SELECT do
 lines AS (SELECT uid, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS line_no FROM u),
 masked AS (SELECT uid, line_no, line, array_to_string(list_transform(string_split(trim(regexp_replace(line, '[ \t\r\f]+', ' ', 'g')), ' '), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END), ' ') AS m FROM lines),
 held AS (SELECT m, count(DISTINCT uid) AS docs, string_split(m, ' ') AS ws FROM masked WHERE m <> '' GROUP BY m),
-leaves AS (SELECT m, docs, ws, len(ws) AS n, o, array_to_string(list_transform(range(1, 7), lambda i: CASE WHEN i = o THEN '' ELSE ws[i] END), ' ') AS lead FROM held, (SELECT unnest(range(1, 7)) AS o) WHERE len(ws) >= 8),
-fields AS (SELECT m, docs, n, o, lead, ws, unnest(range(7, n + 1)) AS pos FROM leaves),
+leaves AS (SELECT m, docs, ws, len(ws) AS n, o, array_to_string(ws[3 * o + 1:3 * o + 3], ' ') AS lead FROM held, (SELECT unnest(range(0, 2)) AS o) WHERE len(ws) >= 8),
+fields AS (SELECT * FROM (SELECT m, docs, n, o, lead, ws, unnest(range(1, n + 1)) AS pos FROM leaves) WHERE pos NOT BETWEEN 3 * o + 1 AND 3 * o + 3),
 constants AS (SELECT n, o, lead, pos, ws[pos] AS word FROM fields GROUP BY ALL HAVING sum(docs) >= 3),
 kinds AS (SELECT f.n, f.o, f.lead, f.m, string_agg(f.pos || ':' || c.word, ' ' ORDER BY f.pos) AS same FROM fields f JOIN constants c ON f.n = c.n AND f.o = c.o AND f.lead = c.lead AND f.pos = c.pos AND f.ws[f.pos] = c.word
-          GROUP BY f.n, f.o, f.lead, f.m HAVING count(*) + 5 >= 0.7::DOUBLE * f.n),
+          GROUP BY f.n, f.o, f.lead, f.m HAVING count(*) + 3 >= 0.7::DOUBLE * f.n),
 groups AS (SELECT n, o, lead, same FROM kinds JOIN (SELECT DISTINCT uid, m FROM masked) USING (m) GROUP BY ALL HAVING count(DISTINCT uid) >= 3),
 gone AS (SELECT m FROM held WHERE docs >= 3 UNION SELECT m FROM kinds JOIN groups USING (n, o, lead, same)),
 kept AS (SELECT uid, count(*) AS n_lines, count(gone.m) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE gone.m IS NULL), '') AS body FROM masked LEFT JOIN gone USING (m) GROUP BY uid)

@@ -302,16 +302,17 @@ def brute_lines(rows, min_docs=3):
     for line in holders:
         words = line.split(" ")
         if len(words) >= line_dedup.LEAST_TOKENS:
-            for out in range(line_dedup.LEAD):
-                leaves[len(words), out, tuple(w for i, w in enumerate(words[: line_dedup.LEAD]) if i != out)].append(line)
-    for lines in leaves.values():
+            for part in (0, 1):
+                leaves[len(words), part, *words[part * line_dedup.LEAD : (part + 1) * line_dedup.LEAD]].append(line)
+    for (_, part, *_), lines in leaves.items():
+        others = lambda line: [f for f in enumerate(line.split(" ")) if f[0] // line_dedup.LEAD != part]  # noqa: E731, B023
         held = collections.Counter()
         for line in lines:
-            held.update({f: len(holders[line]) for f in list(enumerate(line.split(" ")))[line_dedup.LEAD :]})
+            held.update({f: len(holders[line]) for f in others(line)})
         groups = collections.defaultdict(list)
         for line in lines:
-            same = tuple(f for f in list(enumerate(line.split(" ")))[line_dedup.LEAD :] if held[f] >= min_docs)
-            if same and len(same) + line_dedup.LEAD - 1 >= line_dedup.SIMILAR * len(line.split(" ")):
+            same = tuple(f for f in others(line) if held[f] >= min_docs)
+            if same and len(same) + line_dedup.LEAD >= line_dedup.SIMILAR * len(line.split(" ")):
                 groups[same].append(line)
         for group in groups.values():
             if len(set().union(*(holders[line] for line in group))) >= min_docs:
