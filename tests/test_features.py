@@ -20,7 +20,7 @@ from hornlake.sources.database import Database, from_tuples
 def test_gate_loses_nothing(spark, kind, how, monkeypatch):
     rnd = random.Random(kind)
     letters = "aAbB-/.*+([é€ \n"
-    texts = ["".join(rnd.choices(letters, k=rnd.randint(0, 9))) for _ in range(150)] + ["c2VjcmV0", "xx\n"]
+    texts = ["".join(rnd.choices(letters, k=rnd.randint(0, 9))) for _ in range(150)] + ["c2VjcmV0", "xx\n", "z-a", "-a", "a.b", "(B", "(", "A"]
     patterns = ["-a", "/B", "a.b", "*", "(", "é", "secret", "b\n", "A+"]
     if kind == "regex_match":
         patterns = ["^a", "(?i)b$", "a|B", "[-/]a", "é+", r"\.", "(?-i)A"]
