@@ -59,7 +59,7 @@ def _in_network(value: Column, pattern: str) -> Column:
 
 def tests(kind: str, value: Column, pattern: str, case_insensitive: bool = False, windash: bool = False) -> Column:
     """True where the value matches the pattern."""
-    if case_insensitive and kind not in ("regex_match",):
+    if case_insensitive and kind in ("contains", "starts_with", "ends_with"):
         value, lowered = F.lower(value), pattern.lower()
     else:
         lowered = pattern
