@@ -44,12 +44,11 @@ def parsed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, uid, line_no, n_tokens, t1, t2, leaves) of every line; leaves: hashes, null where there are too few tokens."""
     lines = docs.select("doc_id", "uid", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     lines = lines.select("doc_id", "uid", "line_no", masked_line(F.col("line")).alias("masked"))
-    spaces = F.length("masked") - F.length(F.translate("masked", " ", ""))
-    n = F.when(F.col("masked") == "", 0).otherwise(spaces + 1)
-    first, both = F.substring_index("masked", " ", LEAD), F.substring_index("masked", " ", 2 * LEAD)
-    leaves = F.array(F.xxhash64(n, F.lit(0), first), F.xxhash64(n, F.lit(1), F.substring_index(both, " ", -LEAD)))
+    spaces = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit("")))
+    lines = lines.withColumn("n_tokens", F.when(F.col("masked") == "", 0).otherwise(spaces + 1))
+    part = lambda i: F.xxhash64("n_tokens", F.lit(i), F.substring_index(F.substring_index("masked", " ", (i + 1) * LEAD), " ", -LEAD))
     hashes = F.xxhash64("masked").alias("t1"), F.xxhash64(F.lit(1), "masked").alias("t2")
-    return lines.select("doc_id", "uid", "line_no", n.alias("n_tokens"), *hashes, F.when(n >= LEAST_TOKENS, leaves).alias("leaves"))
+    return lines.select("doc_id", "uid", "line_no", "n_tokens", *hashes, F.when(F.col("n_tokens") >= LEAST_TOKENS, F.array(part(0), part(1))).alias("leaves"))
 
 
 def generalised(texts: DataFrame, weights: DataFrame, per_doc: DataFrame, min_docs: int) -> DataFrame:
