@@ -41,10 +41,11 @@ def subscribed(stream: DataFrame, topic: str, prefix: str) -> DataFrame:
     return stream.where((F.col(topic) == prefix) | below) if prefix else stream
 
 
-def rate_limited(stream: DataFrame, key: str, seconds: str, most: int, window: float, idle: float = 3600.0) -> DataFrame:
+def rate_limited(stream: DataFrame, key: str, seconds: str, most: int, window: float, idle: float | None = None) -> DataFrame:
     """(key, seconds, allowed): at most `most` events a key in any trailing window; denied ones do not count.
 
-    Within a batch a key's events count in order of their time; what is known of a key goes after `idle` seconds without events.
+    Within a batch a key's events count in order of their time; with `idle`, what is known of a key
+    goes after so many seconds without its events; the stream then has batches without data, too.
     """
 
     def decide(keys, frames: Iterator[pd.DataFrame], state):
@@ -60,8 +61,9 @@ def rate_limited(stream: DataFrame, key: str, seconds: str, most: int, window: f
             if allowed[-1]:
                 recent.append(at)
         state.update((recent,))
-        state.setTimeoutDuration(max(1, int(idle * 1000)))
+        if idle is not None:
+            state.setTimeoutDuration(max(1, int(idle * 1000)))
         yield pd.DataFrame({"key": pd.Series([keys[0]] * len(times)), "seconds": times, "allowed": allowed})
 
     kind = stream.schema[key].dataType.simpleString()
-    return stream.groupBy(key).applyInPandasWithState(decide, f"key {kind}, seconds double, allowed boolean", "recent array<double>", "append", "ProcessingTimeTimeout")
+    return stream.groupBy(key).applyInPandasWithState(decide, f"key {kind}, seconds double, allowed boolean", "recent array<double>", "append", "NoTimeout" if idle is None else "ProcessingTimeTimeout")
