@@ -171,7 +171,7 @@ class WindowHashes:
 
     def words(self, words: list[str]) -> np.ndarray:
         known = self.known
-        if len(known) > 500_000:
+        if len(known) > 200_000:
             known.clear()
         try:
             return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
