@@ -28,8 +28,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the least doc_id; texts without words are one group."""
-    return simhash.keep_one(docs)
+    """Of each group that SimHash fingerprints or a similarity of 0.8 link, the document of the least doc_id.
+
+    Texts without words are one group.
+    """
+    return simhash.keep_linked(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

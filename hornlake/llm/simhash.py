@@ -5,9 +5,10 @@ radius share a variant, and those that share one are within the radius, so a var
 linked to the least of them: links grow with the rows, never with a group's square.  Links are verified
 by their differing bits, and components spread over distinct fingerprints only.
 
-near_duplicates is an exact join for a similarity threshold, which fingerprints are not: documents that
-share a shingle of their prefixes (see buckets) are candidates, and candidate pairs are verified by the
-Jaccard similarity of their distinct five-word shingles until no pair could link two components.
+keep_linked removes what fingerprints link and, as they miss most pairs at a similarity of 0.8, what the exact
+join of near_duplicates links beside them: documents that share a shingle of their prefixes (see buckets) are
+candidates, and candidate pairs are verified by the Jaccard similarity of their distinct five-word shingles
+until no pair could link two components.
 
 Defined cases: null is the empty text; no words give fingerprint zero, linked like any other; fewer
 words than a shingle form one; null ids are kept, a component of null ids has a null id; repeated rows
@@ -209,10 +210,22 @@ def sharper(rows: DataFrame, left: DataFrame) -> DataFrame:
     return found
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def fingerprint_links(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
+    """Links (a, b) of row_key()s that join each component of simhash_components to its least member."""
+    found = simhash_components(id_text(docs).select(row_key().alias("doc_id"), "text"), width, radius)
+    return materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).distinct())
+
+
+def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """members with their component, which is their own uid where labels (id, component) has none."""
+    return members.join(labels.select(F.col("id").alias("uid"), "component"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+
+
+def near_duplicates(docs: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """(uid, component) of documents with a near duplicate; uid is row_key() of (doc_id, text).
 
-    Components are those of all pairs of a similarity of 0.8.  In each bucket one member meets all that are
+    Components are those of all pairs of a similarity of 0.8, and of links (a, b) if given, whose pairs need not
+    be met again.  In each bucket one member meets all that are
     not yet linked to it, and leaves: that of the greatest score, in every other turn the smallest.
     After HEADS turns the members of buckets of up to CROWD meet in pairs; those of larger ones do in sharper
     buckets, where that could still make a link (see nearest_fits).
@@ -220,8 +233,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     rows = id_text(docs).select(row_key().alias("uid"), F.col("text").cast("binary").alias("text"))
     left, held = buckets(rows)
-    left = left.withColumn("component", F.col("uid"))
-    edges = labels = None
+    left = left.withColumn("component", F.col("uid")) if links is None else labelled(left, components(links))
+    edges, labels = links, None
     apart = "uid <> head AND component <> head_component AND 5 * least(size, head_size) >= 4 * greatest(size, head_size)"
     for turn in range(HEADS + 1):
         if turn < HEADS:
@@ -245,7 +258,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         labels = components(edges)
         if turn < HEADS:
             left = left.join(heads.select("bucket", F.col("head").alias("uid")), ["bucket", "uid"], "left_anti").drop("component")
-            left = left.join(labels.select(F.col("id").alias("uid"), "component"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+            left = labelled(left, labels)
             mixed = left.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
             left = materialize(left.join(mixed, "bucket", "left_semi"))
             if left.isEmpty():
@@ -253,18 +266,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return labels.withColumnRenamed("id", "uid")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs, all columns as they are, with only one document of each group: that of the least doc_id.
+def keep_one(docs: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """docs, all columns as they are, with only one document of each group (see near_duplicates): that of the least doc_id.
 
     Null ids come last; rows that repeat the one that stays stay with it.
     """
     ids = id_text(docs).select("doc_id", row_key().alias("uid")).distinct()
-    grouped = materialize(ids.join(near_duplicates(docs), "uid"))
+    grouped = materialize(ids.join(near_duplicates(docs, links), "uid"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
     best = grouped.groupBy("component").agg(F.min(order).alias("best")).select("component", "best.uid")
     return without(docs, grouped.join(best, ["component", "uid"], "left_anti").select("doc_id", "uid"))
 
 
+def keep_linked(docs: DataFrame) -> DataFrame:
+    """keep_one over the links of fingerprints (those of op7_simhash) and of the exact join together."""
+    return keep_one(docs, fingerprint_links(docs))
+
+
 def op7_simhash(spark, sf_dir):
     found = simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -1,6 +1,9 @@
 """The pipeline's stages, each on its own input, at sf0.001."""
 
+import random
+
 import corpus_pipeline
+from hornlake.llm import simhash
 from hornlake.llm.common import materialize
 
 SF = "/root/testdata/sf0.001"
@@ -36,3 +39,26 @@ def test_columns_that_clash_are_kept(spark):
     empty = docs.where("false")
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0, name
+
+
+def test_near_dedup_links_fingerprints_and_similar_texts(spark):
+    """One document stays of each component of both kinds of links: first and last by similarity alone, last and second by fingerprints alone."""
+    rnd = random.Random(3)
+    words = lambda n: [f"w{rnd.randrange(9000)}" for _ in range(n)]
+    texts = [" ".join(words(120)) for _ in range(5)]
+    for _ in range(6):
+        line, ends = words(9), [words(40), words(60)]  # repeated, the line decides every bit, and the sets see the ends
+        texts += [" ".join(t) for t in (line * 2 + ends[0], line * 40 + ends[1], line * 40 + ends[0])]
+    sets = [set(simhash.shingles(t.encode(), 5)) for t in texts]
+    prints = [simhash.majority(simhash._hashes(simhash.shingles(t.encode(), 3))) for t in texts]
+    close = lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+    linked = lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 2
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j)]
+    assert sum(linked(*p) and not close(*p) for p in pairs) == sum(close(*p) and not linked(*p) for p in pairs) == 6
+    least = list(range(len(texts)))
+    for _ in texts:
+        for i, j in pairs:
+            if close(i, j) or linked(i, j):
+                least[i] = least[j] = min(least[i], least[j])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()} == set(least)
