@@ -26,11 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checked, chunks, components, forget, id_text, materialize, row_key, without
+from .common import checked, chunks, components, forget, give_back, id_text, materialize, partitions, row_key, without
 
 SEED = 42
 SHINGLE, HEADS, CROWD, BEFORE = 5, 3, 16, 32  # the similarity is 4/5
 SAMPLED, COMMON = 5000, 200_000  # documents to sample at least, shingles that come last in prefixes
+PART_BYTES, KEY_BITS, MOST_PARTS = 16_000_000, 24, 60_000  # text to a part of the shingles, their bits in it, parts at most
 
 
 def shingles(text: bytes, width: int) -> list[bytes]:
@@ -98,6 +99,90 @@ def _shingle_sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["uid", "words"])
 
 
+def _dealt(parts: int):
+    """Of each slice of documents a row per part with its shingles' last KEY_BITS and, as steps, their documents;
+    and a row with the slice's uids and sizes, and in `sent` how many rows the others are."""
+
+    def run(batches):
+        for batch in (part.slice(at, 1 << 16) for batch in batches for part in chunks(batch, 1) for at in range(0, part.num_rows, 1 << 16)):
+            sets = [np.unique(_hashes(set(shingles(t, SHINGLE)))) for t in batch.column(1).to_pylist()]
+            sizes = np.array([len(h) for h in sets], np.int64)
+            all_ = np.concatenate(sets)
+            part = (all_ >> np.uint64(KEY_BITS)) % np.uint64(parts)
+            order = np.argsort(part.astype(np.uint16), kind="stable")
+            keys = np.ascontiguousarray(all_[order].astype("<u4").view(np.uint8).reshape(-1, 4)[:, : KEY_BITS // 8])
+            docs, part = np.repeat(np.arange(len(sets)), sizes)[order], part[order]
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)] if len(part) else [0]
+            uids = np.asarray(batch.column(0)).astype(np.int64).tobytes()
+            name = xxhash.xxh64_intdigest(uids, SEED)
+            out = [(int(part[a]), -1, keys[a:b].tobytes(), np.diff(docs[a:b], prepend=0).astype("<u2").tobytes()) for a, b in itertools.pairwise(cuts)]
+            out.append((name % parts, len(out), uids, sizes.tobytes()))
+            part, sent, body, by = zip(*out, strict=True)
+            names = np.full(len(out), name, np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(part, pa.int32()), pa.array(sent, pa.int64()), pa.array(body, pa.binary()), pa.array(by, pa.binary())], ["slice", "part", "sent", "body", "by"])
+
+    return run
+
+
+def _repeated(batches):
+    """Rows of _dealt with, in place of their shingles, the documents of those whose key stands more than once in the part."""
+    found = {}
+    for batch in batches:
+        for name, part, sent, body, by in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found.setdefault(part, []).append((name, sent, body, by))
+    for rows in found.values():
+        own = [r for r in rows if r[1] < 0]
+        keys = np.zeros((sum(len(r[2]) for r in own) * 8 // KEY_BITS, 4), np.uint8)
+        keys[:, : KEY_BITS // 8] = np.frombuffer(b"".join(r[2] for r in own), np.uint8).reshape(-1, KEY_BITS // 8)
+        keys = keys.view("<u4").ravel()
+        ordered, twice = np.sort(keys), np.zeros(1 << KEY_BITS, bool)
+        twice[ordered[1:][ordered[1:] == ordered[:-1]]] = True
+        twice, at, out = twice[keys], 0, [r for r in rows if r[1] >= 0]
+        for name, sent, _, by in own:
+            docs = np.cumsum(np.frombuffer(by, "<u2"), dtype=np.int64)
+            out.append((name, sent, b"", docs[twice[at : at + len(docs)]].astype("<u2").tobytes()))
+            at += len(docs)
+        names, sent, body, by = zip(*out, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sent, pa.int64()), pa.array(body, pa.binary()), pa.array(by, pa.binary())], ["slice", "sent", "body", "by"])
+        give_back()
+
+
+def _hopeless(batches):
+    """Uids of documents with fewer repeated shingles than 4/5 of theirs; none of a slice that lacks rows."""
+    found = {}
+    for batch in batches:
+        for name, sent, body, by in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            heads, bodies = found.setdefault(name, ([], []))
+            if sent >= 0:
+                heads.append((sent, body, by))
+            else:
+                bodies.append(by)
+    for heads, bodies in found.values():
+        if heads and len(bodies) == sum(h[0] for h in heads):
+            uids, sizes = (np.frombuffer(b, np.int64) for b in heads[0][1:])
+            count = np.bincount(np.frombuffer(b"".join(bodies), "<u2"), minlength=len(uids))
+            yield pa.RecordBatch.from_arrays([pa.array(uids[count < sizes - sizes // 5])], ["uid"])
+
+
+def hopeful(rows: DataFrame) -> DataFrame:
+    """rows (uid, text), materialized, but for those that no other can be similar to.
+
+    A text shares 4/5 of its shingles with any similar one, so so many must stand in another text.  Shingles are
+    counted whole, by part and KEY_BITS of their hash: different ones may be taken for one, which only leaves more rows.
+    A row stays unless all that was sent of its slice has come.
+    """
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = min(MOST_PARTS, size // PART_BYTES + partitions(rows.sparkSession))
+    dealt = rows.mapInArrow(_dealt(parts), "slice bigint, part int, sent bigint, body binary, by binary").repartition(parts, "part")
+    counted = dealt.mapInArrow(_repeated, "slice bigint, sent bigint, body binary, by binary").repartition(parts, "slice")
+    gone = materialize(counted.mapInArrow(_hopeless, "uid bigint").distinct())
+    ids = materialize(rows.select("uid").join(checked(gone), "uid", "left_anti").distinct())
+    left = materialize(rows.join(checked(ids), "uid", "left_semi"))
+    for done in (gone, ids):
+        forget(done)
+    return left
+
+
 def common_shingles(rows: DataFrame) -> np.ndarray:
     """At most COMMON hashes of shingles that several of the sampled documents hold, the rarest first.
 
@@ -231,7 +316,7 @@ def near_duplicates(docs: DataFrame, links: DataFrame | None = None) -> DataFram
     buckets, where that could still make a link (see nearest_fits).
     Buckets within one component are done, so a large group of copies costs its size, not its square.
     """
-    rows = id_text(docs).select(row_key().alias("uid"), F.col("text").cast("binary").alias("text"))
+    rows = hopeful(id_text(docs).select(row_key().alias("uid"), F.col("text").cast("binary").alias("text")))
     left, held = buckets(rows)
     left = left.withColumn("component", F.col("uid")) if links is None else labelled(left, components(links))
     edges, labels = links, None

@@ -62,3 +62,22 @@ def test_near_dedup_links_fingerprints_and_similar_texts(spark):
                 least[i] = least[j] = min(least[i], least[j])
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()} == set(least)
+
+
+def test_near_dedup_indexes_only_texts_that_could_be_similar(spark):
+    """Every text of a similar pair stays in the join, of 400 unrelated ones few do; a slice that lacks a row loses none."""
+    rnd = random.Random(4)
+    words = lambda n: [f"w{rnd.randrange(9000)}" for _ in range(n)]
+    rows = [("alone", words(rnd.randint(3, 400))) for _ in range(400)] + [("pair", []), ("pair", [])]
+    for n in (4, 5, 30, 300):
+        base = words(n)
+        rows += [("pair", base), ("pair", base + words(n // 8)), ("part", base[: n // 2] + words(n))]
+    rnd.shuffle(rows)
+    docs = spark.createDataFrame([(i, " ".join(t).encode(), k) for i, (k, t) in enumerate(rows)], "uid bigint, text binary, kind string")
+    left = [r.uid for r in simhash.hopeful(docs.select("uid", "text")).collect()]
+    kinds = [rows[i][0] for i in left]
+    assert len(left) == len(set(left)) and kinds.count("pair") == 10 and kinds.count("alone") < 20
+    dealt = docs.select("uid", "text").coalesce(1).mapInArrow(simhash._dealt(7), "slice bigint, part int, sent bigint, body binary, by binary")
+    counted = dealt.coalesce(1).mapInArrow(simhash._repeated, "slice bigint, sent bigint, body binary, by binary").toArrow()
+    whole, lacking = (sum(b.num_rows for b in simhash._hopeless(t.to_batches())) for t in (counted, counted.slice(1)))
+    assert counted.num_rows == 8 and whole >= 380 and lacking == 0
