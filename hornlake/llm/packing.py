@@ -36,7 +36,7 @@ def _cut(tokens: int):
 
         words = word_ids()
         for batch in batches:
-            for part in chunks(batch, 1):
+            for part in chunks(batch, 1, 500_000, words=True):
                 doc, number, start, length, crc = [], [], [], [], []
                 split = [words.split(t) for t in part.column(1).to_pylist()]
                 known = words.learn(set().union(*split))

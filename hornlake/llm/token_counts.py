@@ -32,7 +32,7 @@ def _frequencies(batches):
     words, counts = word_ids(), Counter()
     out = lambda c: pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
     for batch in batches:
-        for part in chunks(batch, 0):
+        for part in chunks(batch, 0, words=True):
             for text in part.column(0).to_pylist():
                 counts.update(words.split(text))
             if len(counts) > FLUSH_WORDS:
@@ -57,7 +57,7 @@ def _counter(head_of):
 
         words, head = word_ids(), head_of.value
         get = head.get
-        for part in (part for batch in batches for part in chunks(batch, 2)):
+        for part in (part for batch in batches for part in chunks(batch, 2, words=True)):
             uid, doc, size, base, tail, freq = [], [], [], [], [], []
             for u, d, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                 total, rest = 0, {}

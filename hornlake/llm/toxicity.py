@@ -30,9 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, id_text, materialize, row_key, without
+from .common import chunks, give_back, id_text, materialize, row_key, without
 
 SAMPLE, BLOCK, NEIGHBOURS = 1000, 64, 25
+ROWS = 500  # vectors that a worker holds as Python's numbers
 FAINT, STRONG, LONG, FIRST_BLOCKS = 0.05, 10.0, 200, 4
 FOLDS = 5
 WORD = re.compile(r"[^\W\d_]+")
@@ -242,13 +243,14 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches):
         index, weight, (starts, levels) = model.value
-        for batch in batches:
+        for batch in (batch.slice(at, ROWS) for batch in batches for at in range(0, batch.num_rows, ROWS)):
             out, near = [], []
             for ids, freqs in zip(*(batch.column(i).to_pylist() for i in (2, 3)), strict=True):
                 vote, found = index.vote(*unit_vector(ids, freqs, weight), NEIGHBOURS)
                 level = levels[max(0, bisect_right(starts, vote) - 1)]
                 out.append(min(1.0, max(0.0, 0.998 * level + 0.001 + 0.001 * (2 * vote - 1)))), near.append([f"{d}:{t}:{c:g}" for d, t, c in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64()), pa.array(near, pa.list_(pa.string()))], ["uid", "doc_id", "score", "evidence"])
+        give_back()
 
     return vectors.mapInArrow(run, "uid bigint, doc_id bigint, score double, evidence array<string>")
 

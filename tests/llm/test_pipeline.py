@@ -3,8 +3,9 @@
 import random
 
 import corpus_pipeline
-from hornlake.llm import simhash
-from hornlake.llm.common import materialize
+import pyarrow as pa
+from hornlake.llm import pretokens, simhash
+from hornlake.llm.common import BATCH_BYTES, BATCH_LIMIT, chunks, materialize
 
 SF = "/root/testdata/sf0.001"
 
@@ -81,3 +82,25 @@ def test_near_dedup_indexes_only_texts_that_could_be_similar(spark):
     counted = dealt.coalesce(1).mapInArrow(simhash._repeated, "slice bigint, sent bigint, body binary, by binary").toArrow()
     whole, lacking = (sum(b.num_rows for b in simhash._hopeless(t.to_batches())) for t in (counted, counted.slice(1)))
     assert counted.num_rows == 8 and whole >= 380 and lacking == 0
+
+
+def test_workers_hold_small_batches_and_no_other_operators_words(spark):
+    """12 MB of texts in one partition come to a worker bit by bit; the session's own limit stays; only tokenising keeps the cache of words."""
+    docs = spark.range(4000).selectExpr("id AS doc_id", "repeat('word ', 600) AS text").coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([batch.num_rows])], ["bytes", "rows"])
+
+    seen = lambda: materialize(docs.mapInArrow(sizes, "bytes bigint, rows bigint")).agg({"bytes": "max", "rows": "sum"}).first()
+    found = seen()
+    assert found["max(bytes)"] < 2 * BATCH_BYTES and found["sum(rows)"] == 4000
+    assert spark.conf.get(BATCH_LIMIT, None) is None
+    spark.conf.set(BATCH_LIMIT, "5000000")
+    try:
+        assert 4_000_000 < seen()["max(bytes)"] < 6_000_000 and spark.conf.get(BATCH_LIMIT) == "5000000"
+    finally:
+        spark.conf.unset(BATCH_LIMIT)
+    batch, words = pa.RecordBatch.from_arrays([pa.array(["some text"])], ["text"]), pretokens.word_ids()
+    assert sum(part.num_rows for part in chunks(batch, 0, words=True)) == 1 and pretokens.word_ids() is words
+    assert sum(part.num_rows for part in chunks(batch, 0)) == 1 and pretokens.word_ids() is not words
