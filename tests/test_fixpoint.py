@@ -112,3 +112,25 @@ def test_extremes_of_mixed_kinds_are_exact(spark):
     out = Program("hi(K, M) :- M = max(V) : p(K, V). lo(K, M) :- M = min(V) : p(K, V).").transform(db)
     assert sorted(map(tuple, out.facts("hi", 2).collect())) == [("a", "9007199254740993"), ("b", "2.5")]
     assert sorted(map(tuple, out.facts("lo", 2).collect())) == [("a", "1.5"), ("b", "-3")]
+
+
+HUBS = "link(A, B) :- l(A, K), r(B, K)%s. goal(A, B) :- link(A, B). goal(A, B) :- goal(A, C), link(C, B)."
+
+
+@pytest.mark.parametrize("other", ["", ", A != B", ", A != B, on(A), not off(B)"])
+def test_closure_of_edges_that_meet_in_hubs(spark, other, monkeypatch):
+    rnd = random.Random(other)
+    for ends, hubs, n in ((12, 5, 12),):
+        left, right = ([(rnd.randrange(ends), rnd.randrange(hubs)) for _ in range(n)] for _ in "lr")
+        on, off = {i for i in range(ends) if i % 3}, {0, 4}
+        link = {(a, b) for a, k in left for b, j in right if k == j and (a != b or not other) and ("on" not in other or (a in on and b not in off))}
+        data = {"l": sorted(set(left)), "r": sorted(set(right)), "on": [(i,) for i in on], "off": [(i,) for i in off]}
+        assert rows(spark, HUBS % other, "goal", data) == least(link, lambda r: {(a, d) for a, b in r for c, d in link if b == c})
+
+
+def test_hubs_are_not_made_into_pairs(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(closing, "hold", lambda df, *a: held.append(storage.hold(df, *a)) or held[-1])
+    data = {"l": [(i, i % 2) for i in range(600)], "r": [(i, i % 2) for i in range(600)]}
+    assert len(rows(spark, HUBS % ", A != B", "goal", data)) == 2 * 300 * 300
+    assert max(n for _, n in held) <= 2 * (600 + 600 + 2)
