@@ -130,6 +130,13 @@ class Program:
             check_rule(r, self.functions.arities(), self.functions.outputs())
         check_types(self.rules, declarations or [])
         self.order = strata(self.rules)
+        self.closed = set()  # predicates whose closure some other is
+        for name in [g[0] for g in self.order if len(g) == 1]:
+            own = [r for r in self.rules if r.head.name == name and r.body]
+            loops = [r for r in own if any(isinstance(b, Atom) and b.name == name for b in r.body)]
+            seeds = [r for r in own if r not in loops]
+            if closure_base(name, loops, seeds, False) and len(seeds) == 1:
+                self.closed |= {b.name for b in seeds[0].body if isinstance(b, Atom)}
 
     def group_of(self, name: str) -> list[str]:
         """The predicates that are evaluated together with one."""
@@ -200,7 +207,7 @@ class Program:
         loops = [r for r in rules if any(isinstance(b, Atom) and b.name in group for b in r.body)]
         parts: dict[tuple[str, int], list[Relation]] = {}
         for r in rules:
-            if r not in loops and (rel := derive(r, db, self.functions)) is not None:
+            if r not in loops and (rel := derive(r, db, self.functions, plain=r.head.name in self.closed)) is not None:
                 parts.setdefault((r.head.name, len(r.head.terms)), []).append(rel)
         facts_found = -1
         for key, rels in parts.items():

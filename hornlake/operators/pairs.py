@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.language import Atom, Compare, Rule, Var, variables
+from ..sources.storage import hold
 
 SIDE = 2048  # rows of a block
 PER_TASK = 4_000_000  # pairs of a task, about
@@ -76,3 +77,39 @@ def halves(rule: Rule) -> Halves | None:
         made = [Rule(Atom(n, tuple(Var(v) for v in sorted(used & p[0] | {hub}))), tuple(sorted(p[1], key=rule.body.index))) for n, p in zip(("_left", "_right"), sides, strict=True)]
         return Halves(*made, hub, across)
     return None
+
+
+def unique(df: DataFrame, columns: list[str]) -> bool:
+    return df.groupBy(*columns).count().where("count > 1").isEmpty()
+
+
+def matched(left: DataFrame, right: DataFrame, keys: int, test) -> tuple[DataFrame, int]:
+    """(left x right where l_k0.. equal r_k0.. and the test holds; pairs before the test), null keys equal.
+
+    Where pairs are many, the rows of each key that has more than a block are dealt into blocks, and left
+    blocks meet right ones in tasks of their own.
+    """
+    names = range(keys)
+    on = reduce(lambda a, b: a & b, [F.col(f"l_k{i}").eqNullSafe(F.col(f"r_k{i}")) for i in names])
+    counts = [d.groupBy(*[F.col(f"{s}_k{i}") for i in names]).agg(F.count(F.lit(1)).alias(f"{s}_n")) for d, s in ((left, "l"), (right, "r"))]
+    both = counts[0].join(counts[1], on)
+    total = both.agg(F.sum(F.col("l_n").cast("double") * F.col("r_n"))).first()[0] or 0
+    whole = left.join(right, on).where(test)
+    if total <= PER_TASK:
+        return whole, int(total)
+    full, _ = hold(both.where(F.greatest("l_n", "r_n") > SIDE).select(*[F.col(f"l_k{i}").alias(f"k{i}") for i in names], "l_n", "r_n").withColumn("_no", F.monotonically_increasing_id()))
+    if full.isEmpty():
+        return whole, int(total)
+    dealt = []
+    tasks = max(left.sparkSession.sparkContext.defaultParallelism, min(MOST_TASKS, int(total // PER_TASK)))
+    for df, s, o in ((left, "l", "r"), (right, "r", "l")):
+        met = reduce(lambda a, b: a & b, [F.col(f"{s}_k{i}").eqNullSafe(F.col(f"k{i}")) for i in names])
+        own, other = (F.ceil(F.col(f"{x}_n") / F.lit(SIDE)).cast("bigint") for x in (s, o))
+        rows = df.join(F.broadcast(full), met).withColumn("_own", F.pmod(F.xxhash64(*df.columns), own)).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), other - 1)))
+        block = [F.col(c).alias(f"{s}_{n}") for c, n in (("_no", "key"), ("_own", s), ("_other", o))]
+        names_of = [f"{s}_{n}" for n in ("key", "l", "r")]
+        dealt.append(rows.select(*block, *df.columns).repartition(tasks, *names_of))
+    same = reduce(lambda a, b: a & b, [F.col(f"l_{n}") == F.col(f"r_{n}") for n in ("key", "l", "r")])
+    hot = dealt[0].join(dealt[1].hint("shuffle_hash"), same).where(test).select(*left.columns, *right.columns)
+    cold = left.join(F.broadcast(full), reduce(lambda a, b: a & b, [F.col(f"l_k{i}").eqNullSafe(F.col(f"k{i}")) for i in names]), "left_anti")
+    return hot.union(cold.join(right, on).where(test).select(*left.columns, *right.columns)), int(total)

@@ -20,6 +20,7 @@ from ..functions.values import NUMBERS, arithmetic, compare, literal, same, to_j
 from ..plans.analysis import TESTS
 from ..plans.language import Atom, Compare, Const, Is, Op, ProgramError, Rule, Var, variables
 from ..sources.database import SQL_TYPES, Database, Relation
+from .pairs import PER_TASK, halves, matched, unique
 
 
 MOST_OUTPUTS = 64
@@ -212,8 +213,55 @@ def head_rows(rule: Rule, s: Solutions) -> Relation:
     return Relation(s.df.select(*[c.alias(f"c{i}") for i, (c, _) in enumerate(values)]), [k for _, k in values])
 
 
-def derive(rule: Rule, db: Database, functions: Functions, swap=None) -> Relation | None:
-    """The rule's head rows, distinct; None if there can be none."""
+def core(half: Rule, hub: str) -> bool:
+    """True if one atom of the half has all that its other atoms have, so that it makes no pairs itself."""
+    atoms = [variables(b) for b in half.body if isinstance(b, Atom) and not b.negated and b.name[0] != "@"]
+    return any(hub in a and all(x <= a for x in atoms) for a in atoms) and not any(isinstance(b, Atom) and b.name[0] == "@" for b in half.body)
+
+
+def paired(rule: Rule, db: Database, functions: Functions) -> Relation | None:
+    """The head rows where two halves meet in a variable and make far more pairs than they have rows, else None.
+
+    Pairs need no distinct where the head's part of a half is a key of it, and the other's with the hub too.
+    """
+    cut = halves(rule)
+    if cut is None or not core(cut.left, cut.hub) or not core(cut.right, cut.hub):
+        return None
+    sides, kinds = [], {}
+    for half, s in ((cut.left, "l"), (cut.right, "r")):
+        if (rel := derive(half, db, functions)) is None or rel.df.isStreaming:
+            return None
+        names = [t.name for t in half.head.terms]
+        kinds |= {f"{s}_{n}": k for n, k in zip(names, rel.kinds, strict=True)}
+        sides.append(rel.df.toDF(*[f"{s}_k0" if n == cut.hub else f"v_{n}" for n in names]))
+    kind = kinds[f"l_{cut.hub}"]
+    if kind != kinds[f"r_{cut.hub}"] or kind == "float":
+        return None
+    s = Solutions(None, {n[2:]: k for n, k in kinds.items()})
+    s.kinds.pop(cut.hub)
+    test = F.lit(True)
+    for b in cut.across:
+        if cut.hub in variables(b):
+            return None
+        test = test & compare(b.op, *expression(b.left, s), *expression(b.right, s))
+    rows, n = matched(*sides, 1, test)
+    if n <= PER_TASK:
+        return None
+    out = head_rows(rule, Solutions(rows, s.kinds))
+    ends = [[c for c in d.columns if c[2:] in variables(rule.head)] for d in sides]
+    for (df, key), (other, rest), k in (((sides[0], ends[0]), (sides[1], ends[1]), "r_k0"), ((sides[1], ends[1]), (sides[0], ends[0]), "l_k0")):
+        if unique(df, key) and unique(other, [*rest, k]):
+            return out
+    return Relation(out.df.distinct(), out.kinds)
+
+
+def derive(rule: Rule, db: Database, functions: Functions, swap=None, plain: bool = False) -> Relation | None:
+    """The rule's head rows, distinct; None if there can be none.
+
+    plain: without a look at how many they are, for rows that may never be read.
+    """
+    if swap is None and not plain and (made := paired(rule, db, functions)) is not None:
+        return made
     found = solve(rule, db, functions, swap)
     if found is None:
         return None

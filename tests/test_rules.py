@@ -187,3 +187,21 @@ def test_rule_store(tmp_path):
 def test_patterns_that_vary_by_row(spark):
     data = {"p": [("abc", "^a"), ("abc", "("), ("abc", "x")]}
     assert facts(spark, "r(P) :- p(T, P), @regex_match(T, P).", "r", 1, data) == [("^a",)]
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_many_pairs_meet_in_blocks_without_a_distinct(spark, repeated, monkeypatch):
+    from hornlake.operators import pairs, rules
+    from hornlake.sources.database import from_frame
+
+    monkeypatch.setattr(pairs, "SIDE", 8)
+    for module in (pairs, rules):
+        monkeypatch.setattr(module, "PER_TASK", 50)
+    left = [(i, None if i % 3 == 1 else i % 3, i % 7) for i in range(60)] + [(1, 0, 3)] * repeated
+    right = [(100 + i, None if i % 4 == 1 else i % 4, i % 5) for i in range(90)] + [(100, None, 2)] * repeated
+    db = Database(spark, {(n, 3): from_frame(spark.createDataFrame(r, "a bigint, k bigint, v bigint")) for n, r in (("l", left), ("r", right))})
+    out = Program("goal(A, B) :- l(A, K, X), r(B, K, Y), X < Y.").transform(db).facts("goal", 2)
+    expected = sorted({(a, b) for a, k, x in left for b, j, y in right if k == j and x < y})
+    assert sorted(map(tuple, out.collect())) == expected
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Aggregate") is repeated and "l_key" in plan
