@@ -205,3 +205,15 @@ def test_many_pairs_meet_in_blocks_without_a_distinct(spark, repeated, monkeypat
     assert sorted(map(tuple, out.collect())) == expected
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.startswith("Aggregate") is repeated and "l_key" in plan
+
+
+def test_self_join_in_blocks_needs_no_distinct(spark, monkeypatch):
+    from hornlake.operators import pairs, rules
+
+    monkeypatch.setattr(pairs, "SIDE", 4)
+    for module in (pairs, rules):
+        monkeypatch.setattr(module, "PER_TASK", 50)
+    db = Database(spark, {("s", 2): from_tuples(spark, [(i, i % 3) for i in range(40)])})
+    out = Program("goal(A, B) :- s(A, N), s(B, N), A < B.").transform(db).facts("goal", 2)
+    assert sorted(map(tuple, out.collect())) == [(a, b) for a in range(40) for b in range(a + 1, 40) if a % 3 == b % 3]
+    assert not out._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")
