@@ -126,9 +126,9 @@ def load(spark: SparkSession, config: dict, base: str = "") -> Database:
 
 
 def merged(rels: list[Relation]) -> Relation:
-    """The set union; relations of one part are sets already."""
+    """The set union; relations of one part are sets already.  A union is never broadcast: its parts' sizes may be far off."""
     whole = union(rels)
-    return rels[0] if len(rels) == 1 else Relation(whole.df.distinct(), whole.kinds)
+    return rels[0] if len(rels) == 1 else Relation(whole.df.distinct().hint("merge"), whole.kinds)
 
 
 def encode(rel: Relation, predicate: str, names: list[str] | None = None) -> DataFrame:

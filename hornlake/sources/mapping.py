@@ -152,6 +152,7 @@ class _Program(_Expression):
         super().__init__(text, F.col("record"))
         self.rows, self.ids, self.n_ids, self.slots = rows, ids, n_ids, itertools.count()
         self.facts: dict[tuple[str, int], list[Relation]] = {}
+        self.numbered = False
 
     def statements(self, ends: tuple[str, ...]) -> None:
         while True:
@@ -175,7 +176,7 @@ class _Program(_Expression):
         """A column that numbers the rows, unlike every other one of the load."""
         name = f"_id{next(self.slots)}"
         number = F.monotonically_increasing_id() * F.lit(self.n_ids) + F.lit(next(self.ids))
-        self.rows = materialize(self.rows.withColumn(name, number))
+        self.rows, self.numbered = materialize(self.rows.withColumn(name, number)), True
         return F.col(name), "id"
 
     def value(self) -> tuple[Column, str]:
@@ -250,7 +251,10 @@ class _Program(_Expression):
 
     def emit(self, name: str, rows: DataFrame, args: list[tuple[Column, str]]) -> None:
         df = rows.select(*[c.alias(f"c{i}") for i, (c, _) in enumerate(args)])
-        self.facts.setdefault((name, len(args)), []).append(Relation(df.distinct(), [k for _, k in args]))
+        df = df.distinct()
+        if self.numbered:  # a variant counts as 2 KB, so Spark takes what is left without it for a hundredth of its size and would broadcast it
+            df = df.hint("merge")
+        self.facts.setdefault((name, len(args)), []).append(Relation(df, [k for _, k in args]))
 
 
 def run_program(text: str, rows: DataFrame, ids: Iterator[int] | None = None, n_ids: int | None = None) -> dict[tuple[str, int], list[Relation]]:

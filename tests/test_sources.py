@@ -3,13 +3,14 @@ import json
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from hornlake.operators import matchers
 from hornlake.operators.relational import select
 from hornlake.sources.database import Database, from_tuples
 from hornlake.sources.config import ConfigError, check, mistyped, read_config, read_patterns, term_names
-from hornlake.sources.jsonl import browse, encode, load, mapped, probe, records, rejected
-from hornlake.sources.mapping import MappingError
+from hornlake.sources.jsonl import browse, encode, load, mapped, merged, probe, records, rejected
+from hornlake.sources.mapping import MappingError, run_program
 from hornlake.streaming.operators import rate_limited, reevaluate, subscribed
 from hornlake.operators.fixpoint import Program
 
@@ -146,3 +147,13 @@ def test_archives_and_checks(spark, tmp_path):
     ):
         with pytest.raises(ConfigError):
             check(bad)
+
+
+@pytest.mark.parametrize("more", ["", '; assert("a", [id, 1])'])
+def test_numbered_records_are_not_broadcast(spark, more):
+    records = spark.range(50).select(F.try_parse_json(F.to_json(F.struct("id"))).alias("record"))
+    made = run_program('let id = fresh_id(); assert("a", [id, value.id]); assert("b", [id, value.id])' + more, records)
+    db = Database(spark, {k: merged(v) for k, v in made.items()})
+    out = Program("goal(I, V) :- a(I, V), b(I, V).").transform(db).facts("goal", 2)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 50
