@@ -147,3 +147,24 @@ def closure_by_hubs(left: DataFrame, right: DataFrame, kind: str, other: bool) -
         pairs = apart.union(same.where("n_a > 1")).union(same.where("n_a = 1").join(twice, "a", "left_semi"))
     kept, _ = hold(pairs.select("a", "b", "n_a", "n_b"))
     return Closure(kept.select("a", "b"), users, kept.agg(F.sum(F.col("n_a") * F.col("n_b"))).first()[0] or 0, found.rounds, alone=False)
+
+
+def generations(parents: DataFrame) -> Closure:
+    """The pairs with a common ancestor the same number of steps up, for (a, b): b is the one parent of a.
+
+    With one parent each this is an equivalence: nodes are one class where their parents are one, or one class
+    in the round before; a node without a parent is alike to none.  Rounds are as many as the depth.
+    """
+    parents, n = hold(parents.select("a", "b").distinct())
+    labels, classes_left, rounds = parents.select(F.col("a").alias("node"), F.col("a").alias("class")), n, 0
+    while True:
+        up = parents.join(labels.toDF("b", "class"), "b", "left").select("a", F.coalesce("class", "b").alias("up"))
+        fresh = up.join(up.groupBy("up").agg(F.min("a").alias("class")), "up").select(F.col("a").alias("node"), "class")
+        labels, _ = hold(fresh, n)
+        found, rounds = labels.where("node = class").count(), rounds + 1
+        if found == classes_left:
+            break
+        classes_left = found
+    sizes, _ = hold(labels.groupBy("class").count(), classes_left)
+    total = sizes.agg(F.sum(F.col("count") * F.col("count"))).first()[0] or 0
+    return Closure(sizes.select(F.col("class").alias("a"), F.col("class").alias("b")), labels, total, rounds, alone=False)

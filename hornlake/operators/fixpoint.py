@@ -22,8 +22,8 @@ from ..plans.language import Atom, Compare, ProgramError, Query, Rule, Var, pars
 from ..sources.config import check_types
 from ..sources.database import SQL_TYPES, Database, Relation, from_frame, from_tuples, joint_kinds, union
 from ..sources.storage import SMALL_ROWS, hold
-from .closure import Closure, closure, closure_by_hubs
-from .pairs import halves
+from .closure import Closure, closure, closure_by_hubs, generations
+from .pairs import halves, unique
 from .rules import Functions, derive
 
 MAX_ROUNDS = 10_000
@@ -67,6 +67,24 @@ def closure_base(name: str, loops: list[Rule], seeds: list[Rule], loaded: bool)
     return base.name == edge != name and not base.negated and base.terms == seeds[0].head.terms and len(set(base.terms)) == 2 and all(isinstance(t, Var) for t in base.terms)
 
 
+def generation_base(name: str, loops: list[Rule], seeds: list[Rule]) -> str | None:
+    """The relation e where the rules are r(A,B) :- e(A,P), e(B,P) and r(A,B) :- e(A,P), r(P,Q), e(B,Q)."""
+    if len(loops) != 1 or len(seeds) != 1 or len(seeds[0].body) != 2 or len(loops[0].body) != 3:
+        return None
+    for r in (loops[0], seeds[0]):
+        if r.aggregate or not all(isinstance(b, Atom) and not b.negated and len(b.terms) == 2 and all(isinstance(t, Var) for t in b.terms) for b in (r.head, *r.body)):
+            return None
+    edge, other = seeds[0].body[0].name, [b for b in loops[0].body if b.name != name]
+    (a, b), (x, y) = seeds[0].head.terms, loops[0].head.terms
+    middle = next((b for b in loops[0].body if b.name == name), None)
+    if middle is None or len(other) != 2 or {o.name for o in other} | {o.name for o in seeds[0].body} != {edge} or len({x, y, *middle.terms}) != 4:
+        return None
+    hub = seeds[0].body[0].terms[1]
+    if len({a, b, hub}) != 3 or {o.terms for o in seeds[0].body} != {(a, hub), (b, hub)} or {o.terms for o in other} != {(x, middle.terms[0]), (y, middle.terms[1])}:
+        return None
+    return edge
+
+
 class Cancelled(ProgramError):
     """The evaluation was cancelled."""
 
@@ -205,6 +223,8 @@ class Program:
         loaded = {k for k in keys if k in db.relations}
         rules = [r for r in rules if r.body]
         loops = [r for r in rules if any(isinstance(b, Atom) and b.name in group for b in r.body)]
+        if loops and not loaded and (made := self._generations(db, group, keys, loops, rules)) is not None:
+            return made
         parts: dict[tuple[str, int], list[Relation]] = {}
         for r in rules:
             if r not in loops and (rel := derive(r, db, self.functions, plain=r.head.name in self.closed)) is not None:
@@ -250,6 +270,24 @@ class Program:
         whole = Relation(found.rows().toDF("c0", "c1"), rel.kinds)
         return Database(db.spark, db.relations | {key: whole}), found.rounds, found.count
 
+    def _generations(self, db: Database, group: list[str], keys: set, loops: list[Rule], rules: list[Rule]) -> tuple[Database, int, int] | None:
+        """The predicate by classes, where it is same generation over a relation that gives each node one parent."""
+        if self.trace or self.fact_limit is not None or len(group) != 1 or len(keys) != 1:
+            return None
+        edge = generation_base(group[0], loops, [r for r in rules if r not in loops])
+        rel = db.relations.get((edge, 2)) if edge and edge not in group else None
+        if rel is None or rel.kinds[0] != rel.kinds[1] or rel.kinds[0] == "float":
+            return None
+        parents = rel.df.toDF("a", "b")
+        if not parents.where("a IS NULL OR b IS NULL").isEmpty() or not unique(parents.distinct(), ["a"]):
+            return None
+        if self.cancel:
+            self.cancel.check()
+        found = generations(parents)
+        self.derived += found.count
+        whole = Relation(found.rows().toDF("c0", "c1"), rel.kinds)
+        return Database(db.spark, db.relations | {next(iter(keys)): whole}), found.rounds, found.count
+
     def _by_hubs(self, db: Database, seeds: list[Rule]) -> Closure | None:
         """The closure of edges that one rule makes of two halves, without the edges; None where that is not so."""
         if self.fact_limit is not None or len(seeds) != 1 or len(seeds[0].body) != 1:

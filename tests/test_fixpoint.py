@@ -134,3 +134,13 @@ def test_hubs_are_not_made_into_pairs(spark, monkeypatch):
     data = {"l": [(i, i % 2) for i in range(600)], "r": [(i, i % 2) for i in range(600)]}
     assert len(rows(spark, HUBS % ", A != B", "goal", data)) == 2 * 300 * 300
     assert max(n for _, n in held) <= 2 * (600 + 600 + 2)
+
+
+@pytest.mark.parametrize("kind", ["tree", "two parents", "ring"])
+def test_same_generation_by_classes(spark, kind, monkeypatch):
+    held = []
+    monkeypatch.setattr(closing, "hold", lambda df, *a: held.append(storage.hold(df, *a)) or held[-1])
+    up = {"tree": [(i, i // 2) for i in range(2, 60)], "two parents": [(i, i // 2) for i in range(2, 14)] + [(9, 2), (13, 5)], "ring": [(0, 2), (1, 0), (2, 1), (3, 0), (4, 3), (5, 4), (8, 9)]}[kind]
+    step = lambda r: {(a, b) for a, p in up for b, q in up if p == q or (p, q) in r}
+    assert rows(spark, "g(A, B) :- e(A, P), e(B, P). g(A, B) :- e(A, P), g(P, Q), e(B, Q).", "g", {"e": up}) == least(set(), step)
+    assert bool(held) is (kind != "two parents") and all(n <= len(up) for _, n in held)
